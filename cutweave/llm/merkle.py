@@ -60,7 +60,14 @@ class Trees:
     replica, file_no, node, first, last (offsets that the node spans), digest."""
 
     levels: list[DataFrame]
-    shape: list[str]  # of each level above the leaves: "node" or "file", what was divided by FAN
+    shape: list[tuple[str, int]]  # of each level above the leaves: "node" or "file", which FAN divides, and the least file below
+
+
+def parent(what: str, least: int) -> tuple[Column, Column]:
+    """file_no and node of the node above."""
+    if what == "node":
+        return F.col("file_no"), F.floor(F.col("node") / FAN).cast("bigint")
+    return F.floor((F.col("file_no") - F.lit(least)) / FAN).cast("bigint"), F.col("node")
 
 
 def build(replicas: dict[str, DataFrame], manifest: DataFrame) -> Trees:
@@ -84,15 +91,14 @@ def build(replicas: dict[str, DataFrame], manifest: DataFrame) -> Trees:
         if top["n"] is None or (top["n"] == 0 and top["lo"] == top["hi"]):
             return Trees(levels, shape)
         what = "node" if top["n"] > 0 else "file"
-        file_no = F.floor(F.col("file_no") / FAN) if what == "file" else F.col("file_no")
-        node = F.floor(F.col("node") / FAN) if what == "node" else F.col("node")
+        file_no, node = parent(what, top["lo"])
         child = F.struct("file_no", "node", "digest")
-        up = levels[-1].select("replica", file_no.cast("bigint").alias("f"), node.cast("bigint").alias("n"), "first", "last", child.alias("c"))
+        up = levels[-1].select("replica", file_no.alias("f"), node.alias("n"), "first", "last", child.alias("c"))
         up = up.groupBy("replica", "f", "n").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.array_sort(F.collect_list("c")).alias("cs"))
         text = F.concat_ws("\n", F.transform("cs", lambda c: F.concat_ws(":", c["file_no"].cast("string"), c["node"].cast("string"), c["digest"])))
         up = up.select("replica", F.col("f").alias("file_no"), F.col("n").alias("node"), "first", "last", F.sha2(text, 256).alias("digest"))
         levels.append(materialize(up, f"merkle-{len(levels)}"))
-        shape.append(what)
+        shape.append((what, top["lo"]))
 
 
 def differing(trees: Trees, a: str, b: str) -> DataFrame:
@@ -106,9 +112,7 @@ def differing(trees: Trees, a: str, b: str) -> DataFrame:
 
     bad = compared(trees.levels[-1])
     for depth in range(len(trees.levels) - 2, -1, -1):
-        what = trees.shape[depth]
-        f = F.floor(F.col("file_no") / FAN).cast("bigint") if what == "file" else F.col("file_no")
-        n = F.floor(F.col("node") / FAN).cast("bigint") if what == "node" else F.col("node")
+        f, n = parent(*trees.shape[depth])
         parents = bad.select(F.col("file_no").alias("pf"), F.col("node").alias("pn"))
         below = trees.levels[depth].withColumn("pf", f).withColumn("pn", n).join(parents, ["pf", "pn"], "left_semi")
         bad = materialize(compared(below), "merkle-bad")

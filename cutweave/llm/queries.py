@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutweave.llm import merkle, mixing, sharding, url_filter
+from cutweave.llm import additive_quantization, bwt_dedup, chaining, merkle, mixing, positional_index, quality, sharding, simhash, url_filter
+from cutweave.llm.common import materialize
 from cutweave.llm.url_filter import Rule
 
 
@@ -15,6 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- 1: quality ------------------------------------------------------------
+
+
+def op1_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stats, x = quality.with_statistics(docs)
+    stats = materialize(stats.select("doc_id", F.col(x).alias("x")), "quality")
+    model = quality.train(stats, table(spark, sf_dir, "labels"))
+    scored = quality.with_score(stats, model, "x", "score")
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 # --- 2: WARC ---------------------------------------------------------------
 
 
@@ -49,6 +62,36 @@ SELECT page_id, file_no, rec_offset, rec_length,
 FROM o WHERE page_id % 193 = 7 OR page_id % 97 = 5
 """
 
+# --- 3: fuzzy passages -----------------------------------------------------
+
+
+def op3_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(table(spark, sf_dir, "documents"))
+
+
+# --- 4: repeated bytes -----------------------------------------------------
+
+
+def op4_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+# --- 5: benchmark decontamination ------------------------------------------
+
+
+def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = positional_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("hit_spans", "hit_items")
+
+
+# --- 6: SimHash -------------------------------------------------------------
+
+
+def op6_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 # --- 7: mixing -------------------------------------------------------------
 
 
@@ -70,6 +113,13 @@ SELECT doc_id, source, round(rate, 9) AS source_rate, replica::INTEGER AS replic
   md5('42-shuffle:' || doc_id::VARCHAR || ':' || replica::VARCHAR) AS mix_key FROM e
 """
 
+# --- 8: nearest neighbours --------------------------------------------------
+
+
+def op8_additive_quantization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_quantization.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 # --- 9: URL filter ---------------------------------------------------------
 
 URL_RULES = [
@@ -113,8 +163,14 @@ def op10_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_qda": op1_quality_qda,
         "op2_merkle_audit": op2_merkle_audit,
+        "op3_collinear_chains": op3_collinear_chains,
+        "op4_bwt_dedup": op4_bwt_dedup,
+        "op5_positional_index": op5_positional_index,
+        "op6_simhash_vptree": op6_simhash_vptree,
         "op7_poisson_mix": op7_poisson_mix,
+        "op8_additive_quantization": op8_additive_quantization,
         "op9_url_filter": op9_url_filter,
         "op10_lpt_shards": op10_lpt_shards,
     }
