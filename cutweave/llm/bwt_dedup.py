@@ -35,11 +35,11 @@ from cutweave.llm.common import materialize
 
 LENGTH = 200
 GRAM = 32
-STEP = 4
+STEP = 8
 #: Bytes of text that are searched for anchors at once.
 CHUNK = 2 << 20
 #: Bytes of a shard, and of the contexts of a bucket on average.
-SHARD, BUCKET = 128 << 10, 512 << 10
+SHARD, BUCKET = 32 << 10, 128 << 10
 #: Contexts of one anchor hash that may share a bucket; more are split.
 CROWD = 8192
 
@@ -190,11 +190,11 @@ class Shard:
         self.offset = np.arange(n) - np.repeat(base, sizes + 1)
         self.string = np.repeat(np.array(numbers, dtype=np.int64), sizes + 1)
         left = np.repeat(sizes, sizes + 1) - self.offset
-        code = np.zeros(n, dtype=np.int64)
+        code = np.zeros(n, dtype=np.uint64)
         for k in range(STEP):
-            code = (code << 8) | buf[k : k + n]
-        code[left < STEP] = -1
-        rank = np.unique(code, return_inverse=True)[1].astype(np.int64)  # ends are 0, told apart by place alone
+            code = (code << np.uint64(8)) | buf[k : k + n]
+        rank = np.unique(code, return_inverse=True)[1].astype(np.int64) + 1
+        rank[left < STEP] = 0  # ends come first, and are told apart by place alone
         covered = STEP
         while covered <= sizes.max():  # to the end: a cruder order would not agree with the merge
             ahead = np.zeros(n, dtype=np.int64)
@@ -209,9 +209,8 @@ class Shard:
         short = left[self.order] < STEP
         self.order = np.concatenate([self.order[short], self.order[~short]])
         self.n_short = int(short.sum())
-        before = self.offset[self.order] >= STEP
-        self.symbol = np.full(n, -1, dtype=np.int64)
-        self.symbol[before] = code[self.order[before] - STEP]
+        self.inner = self.offset[self.order] >= STEP  # has STEP bytes before it
+        self.symbol = code[np.where(self.inner, self.order - STEP, 0)]
 
 
 def merge_shards(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +220,8 @@ def merge_shards(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarra
     kind = np.uint8 if len(shards) < 256 else np.int32
     ends = np.repeat(np.arange(len(shards)), shorts).astype(kind)
     z = np.concatenate([ends, np.repeat(np.arange(len(shards)), np.array(counts) - shorts).astype(kind)])
-    symbols = np.unique(np.concatenate([s.symbol for s in shards]), return_inverse=True)[1]
+    symbols = np.unique(np.concatenate([s.symbol for s in shards]), return_inverse=True)[1] + 1
+    symbols[~np.concatenate([s.inner for s in shards])] = 0
     symbols = symbols.astype(np.uint16 if symbols.max(initial=0) < 1 << 16 else np.int32)
     n_short = len(ends)
     block = np.zeros(len(z), dtype=np.int32)  # of no bytes, all prefixes are equal
