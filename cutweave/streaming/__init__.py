@@ -1 +1 @@
-
+"""Kept empty: the engine's inventory has no streaming operator."""
