@@ -284,9 +284,10 @@ def q_row_offsets(s, d):
     return prep.row_offsets(edges_pp(s, d), vertices(s, d))
 
 
-@register(with_sql(R, "f AS (SELECT id, min(seen) AS seen FROM (SELECT src AS id, ord * 2 AS seen FROM r UNION ALL SELECT dst, ord * 2 + 1 FROM r) GROUP BY 1)", "m AS (SELECT id, row_number() OVER (ORDER BY seen) - 1 AS v FROM f)", final="SELECT ord, a.v AS src, b.v AS dst FROM r JOIN m a ON a.id = r.src JOIN m b ON b.id = r.dst WHERE r.src <> r.dst"))
+@register(with_sql("r AS (SELECT DISTINCT l_partkey * 1000000 + l_suppkey AS ord, l_partkey AS src, l_suppkey AS dst FROM lineitem)", "f AS (SELECT id, min(seen) AS seen FROM (SELECT src AS id, ord * 2 AS seen FROM r UNION ALL SELECT dst, ord * 2 + 1 FROM r) GROUP BY 1)", "m AS (SELECT id, row_number() OVER (ORDER BY seen) - 1 AS v FROM f)", final="SELECT ord, a.v AS src, b.v AS dst FROM r JOIN m a ON a.id = r.src JOIN m b ON b.id = r.dst WHERE r.src <> r.dst"))
 def q_id_remap(s, d):
-    return prep.remap_ids(raw(s, d))[0]
+    pairs = raw(s, d).select((F.col("src") * 1000000 + F.col("dst")).alias("ord"), "src", "dst").distinct()
+    return prep.remap_ids(pairs)[0]
 
 
 @register(with_sql(V, "t AS (SELECT v, v - v % 3 AS c FROM v)", final="SELECT v, dense_rank() OVER (ORDER BY c) - 1 AS c FROM t"))
@@ -528,7 +529,7 @@ def q_repeat_summary(s, d):
 def q_coarsen_levels(s, d):
     """(level, vertices, entries, weight) of the hierarchy of PP."""
     e, v = materialize(edges_pp(s, d)), materialize(vertices(s, d))
-    h = pt.coarsen(e, v, CoarsenOptions(K, SEED, cluster_size_factor=8, strict_verify=True))
+    h = pt.coarsen(e, v, CoarsenOptions(K, SEED, cluster_size_factor=128, strict_verify=True))
     rows = [(k, x.count(), y.count(), x.agg(F.sum("vw")).first()[0]) for k, (y, x) in enumerate(h.graphs)]
     return s.createDataFrame(rows, "level int, vertices bigint, entries bigint, weight bigint")
 
@@ -538,7 +539,7 @@ def q_partition_pipeline(s, d):
     """Parts of PP: coarsened, split, projected and refined."""
     e = materialize(edges_pp(s, d))
     v = table(s, d, "part").select(F.col("p_partkey").alias("v"), F.lit(1).cast("bigint").alias("vw"))
-    return pt.partition(e, v, K, 1.10, SEED, factor=8, max_rounds=4)[0]
+    return pt.partition(e, v, K, ALPHA, 0, max_rounds=1)[0]
 
 
 @register()
@@ -548,7 +549,7 @@ def q_refine_labels(s, d):
 
     e = materialize(edges_pp(s, d))
     v = materialize(table(s, d, "part").select(F.col("p_partkey").alias("v"), F.lit(1).cast("bigint").alias("vw")))
-    return pt.refine(e, v, labels(v), RefineOptions(K, ALPHA, max_rounds=2))[0]
+    return pt.refine(e, v, labels(v), RefineOptions(K, ALPHA, max_rounds=1))[0]
 
 
 @register()
