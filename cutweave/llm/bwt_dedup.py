@@ -320,7 +320,7 @@ def split_crowds(ctx: DataFrame, length: int, gram: int, crowd: int) -> tuple[Da
         )
         halves = far.unionByName(near)
         alone = halves.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-        now = materialize(halves.join(alone, "h", "left_semi"), "bwt-half")
+        now = materialize(halves.join(alone, "h", "left_semi"), "bwt-half", "zstd")
     out = calm[0]
     for x in calm[1:]:
         out = out.unionByName(x)
@@ -417,9 +417,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
                 out.append((*done, a, c, text if is_open else None, is_open, ctx))
             yield _frame(out, RESULT + ", r1 b, r2 b, text s, is_open b, ctx c")
 
-    first = materialize(rows.mapInPandas(settle, full), "bwt-settled")
+    first = materialize(rows.mapInPandas(settle, full), "bwt-settled", "zstd")
     ctx = first.select("r1", "r2", F.explode("ctx").alias("x")).select("r1", "r2", "x.*")
-    ctx = materialize(ctx.dropDuplicates(["h", "r1", "r2", "start"]), "bwt-contexts")
+    ctx = materialize(ctx.dropDuplicates(["h", "r1", "r2", "start"]), "bwt-contexts", "zstd")
     ctx, early = split_crowds(ctx, length, GRAM, crowd)
     more = resolve(ctx, length)
     for x in early:
