@@ -33,25 +33,40 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
     )
 
 
-def pack(pages: DataFrame) -> DataFrame:
-    """Pages as records of WARC files: page_id, file_no, rec_offset, rec_length, record.
+def stored(pages: DataFrame) -> DataFrame:
+    """Pages as records: page_id, file_no, record.
 
     File: floor(page_id / 1000); pages without id go by their URL's CRC-32
-    to one of 1024 files numbered below 0. Records stand in order of
-    page_id, then of their bytes' hash; repeated pages are records of their own.
+    to one of 1024 files numbered below 0.
     """
     record = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
     no_id = -1 - F.pmod(F.crc32(F.coalesce(F.col("url"), F.lit(""))), F.lit(1024))
     file_no = F.coalesce(F.floor(F.col("page_id") / FILE_IDS), no_id).cast("bigint")
-    out = pages.select("page_id", file_no.alias("file_no"), record.alias("record"))
-    out = out.withColumn("rec_length", F.octet_length("record").cast("bigint")).withColumn("digest", F.sha2("record", 256))
+    return pages.select("page_id", file_no.alias("file_no"), record.alias("record"))
+
+
+def placed(records: DataFrame) -> DataFrame:
+    """Records, or what is known of them, with rec_offset in their file.
+
+    Records (page_id, file_no, rec_length, digest) stand in order of page_id,
+    then of their bytes' hash; repeated pages are records of their own. Of
+    the other columns only those that are read later are shuffled.
+    """
     before = Window.partitionBy("file_no").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return out.withColumn("rec_offset", F.coalesce(F.sum("rec_length").over(before), F.lit(0)))
+    return records.withColumn("rec_offset", F.coalesce(F.sum("rec_length").over(before), F.lit(0)))
+
+
+def pack(pages: DataFrame) -> DataFrame:
+    """Pages as records of WARC files: page_id, file_no, rec_offset, rec_length, record."""
+    out = stored(pages).withColumn("rec_length", F.octet_length("record").cast("bigint"))
+    return placed(out.withColumn("digest", F.sha2("record", 256))).drop("digest")
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """One leaf a record: file_no, rec_offset, rec_length, digest."""
-    return records.select("file_no", "rec_offset", "rec_length", F.sha2("record", 256).alias("digest"))
+    """One leaf a record: file_no, rec_offset, rec_length, digest; records
+    that come without their bytes bring their digest."""
+    digest = F.sha2("record", 256) if "record" in records.columns else F.col("digest")
+    return records.select("file_no", "rec_offset", "rec_length", digest.alias("digest"))
 
 
 @dataclass
@@ -124,8 +139,8 @@ def differing(trees: Trees, a: str, b: str) -> DataFrame:
 def audit(records: DataFrame, replica: DataFrame) -> DataFrame:
     """Records that a replica has altered or lost, or has in addition.
 
-    Both: page_id, file_no, rec_offset, rec_length, record. Returns page_id,
-    file_no, rec_offset, rec_length, status (altered, missing or extra),
+    Both: page_id, file_no, rec_offset, rec_length, and record or digest (its
+    SHA-256, where the store was hashed in place). Returns page_id, file_no, rec_offset, rec_length, status (altered, missing or extra),
     digest_a, digest_b. Equal replicas, and empty ones, give no rows. A record
     held several times at one place counts by its greatest digest.
     """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutweave.llm import additive_quantization, bwt_dedup, chaining, merkle, mixing, positional_index, quality, sharding, simhash, url_filter
@@ -31,17 +31,27 @@ def op1_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 2: WARC ---------------------------------------------------------------
 
 
+def rotten(record: Column) -> Column:
+    """A record of the replica that op2 audits: of every 97 page ids one's last byte is another."""
+    return F.when(F.col("page_id") % 97 == 5, F.concat(F.expr("substring(record, 1, length(record) - 1)"), F.lit("?"))).otherwise(record)
+
+
+def not_lost() -> Column:
+    """Of every 193 page ids the replica lacks one's records."""
+    return F.coalesce(F.col("page_id") % 193 != 7, F.lit(True))
+
+
 def bit_rot(records: DataFrame) -> DataFrame:
-    """The replica that op2 audits: of every 97 page ids one record's last
-    byte is another, of every 193 one record is lost."""
-    altered = F.concat(F.expr("substring(record, 1, length(record) - 1)"), F.lit("?"))
-    record = F.when(F.col("page_id") % 97 == 5, altered).otherwise(F.col("record"))
-    return records.withColumn("record", record).filter(F.coalesce(F.col("page_id") % 193 != 7, F.lit(True)))
+    return records.withColumn("record", rotten(F.col("record"))).filter(not_lost())
 
 
 def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = merkle.pack(table(spark, sf_dir, "pages"))
-    return merkle.audit(records, bit_rot(records))
+    """Both stores are hashed where they are read, so only digests are shuffled."""
+    records = merkle.stored(table(spark, sf_dir, "pages"))
+    hashed = records.select("page_id", "file_no", F.octet_length("record").cast("bigint").alias("rec_length"), F.sha2("record", 256).alias("digest"), F.sha2(rotten(F.col("record")), 256).alias("copy_digest"))
+    both = materialize(merkle.placed(hashed), "merkle-placed")
+    copy = both.filter(not_lost()).drop("digest").withColumnRenamed("copy_digest", "digest")
+    return merkle.audit(both.drop("copy_digest"), copy)
 
 
 OP2_SQL = r"""
