@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -43,6 +44,31 @@ def release(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Keys held by more than one in HOT of all rows are hot, if by more than HOT rows.
+HOT = 1024
+
+
+def join_hot(rows: DataFrame, lookup: DataFrame, key: str, n: str, spread: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``lookup``, which has each key once, with
+    hot keys split over tasks.
+
+    Column ``n`` of ``lookup``, which is dropped, says how many rows hold its
+    key; ``lookup`` is stored. A hot key's rows are dealt by the hash of the
+    columns ``spread`` to as many salts as it has shares of 1 / HOT, and its
+    lookup row stands once for each salt. At most HOT keys are hot, and at
+    most 2 * HOT lookup rows are added, whatever the data; only the hot keys
+    are broadcast. Null keys meet nothing.
+    """
+    total = lookup.agg(F.sum(n)).first()[0] or 0
+    share = max(HOT, total // HOT)
+    salt, salts = fresh(rows.join(lookup.limit(0), key, "left"), "__salt", "__salts")
+    hot = F.broadcast(lookup.filter(F.col(n) > share).select(key, F.ceil(F.col(n) / F.lit(share)).cast("int").alias(salts)))
+    count = F.coalesce(F.col(salts), F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn(salt, F.pmod(F.xxhash64(*spread), count).cast("int")).drop(salts)
+    each = lookup.drop(n).join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), count - 1))).drop(salts)
+    return dealt.join(each, [key, salt]).drop(salt)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names based on ``names`` that do not clash with those of ``df``.
 
