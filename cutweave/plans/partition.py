@@ -104,12 +104,11 @@ def _initial_large(edges: DataFrame, vertices: DataFrame, parts: int, cap: int,
     tasks = {0: (parts, total)}
     while any(k > 1 for k, _ in tasks.values()):
         own = materialize(groups.filter(F.col("grp").isin([g for g, (k, _) in tasks.items() if k > 1])))
-        x = sp.normalize(sp.start(edges, own, seed))
-        for k in range(sp.STEPS):
-            x = sp.normalize(sp.step(edges, x))
-            if k % 4 == 3:
-                x = materialize(x)
-        ranked = materialize(sp.prefix_weights(materialize(x), vertices))
+        inner = materialize(sp.within(edges, own).select("src", "dst", "w"))
+        x = sp.normalize(materialize(sp.start(edges, own, seed)))
+        for _ in range(sp.STEPS):  # stored each time: a step reads its input several times over
+            x = sp.normalize(materialize(sp.spread(inner, x)))
+        ranked = materialize(sp.prefix_weights(x, vertices))
         cuts, after = [], {}
         for g, (k, weight) in tasks.items():
             if k == 1:

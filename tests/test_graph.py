@@ -91,6 +91,16 @@ def test_spectral_bisection(spark):
         pt.initial_partition(e, graph(spark, [], [1000] + [1] * 256)[1], 3, 1.10)
 
 
+def test_large_graphs_split_by_joins(spark, monkeypatch):
+    clique = [(a + k, b + k, 3) for k in (0, 4) for a in range(4) for b in range(a)]
+    e, v = graph(spark, clique, [2] * 8)
+    one_task = pt.initial_partition(e, v, 2, 1.03)
+    monkeypatch.setattr(pt, "ONE_TASK", 0)
+    got = pt.initial_partition(e, v, 2, 1.03)
+    assert gr.cut_value(e, got) == 0 and gr.load_list(v, got, 2) == [8, 8]
+    assert sorted(tuple(r) for r in got.select("v", "part").collect()) == sorted(tuple(r) for r in one_task.collect())
+
+
 def test_levels_keep_weight_and_cut(spark):
     e = prep.synthetic(spark, "circuit", 256)
     v = spark.range(256).selectExpr("id AS v", "1L AS vw")
