@@ -539,17 +539,17 @@ def q_partition_pipeline(s, d):
     """Parts of PP: coarsened, split, projected and refined."""
     e = materialize(edges_pp(s, d))
     v = table(s, d, "part").select(F.col("p_partkey").alias("v"), F.lit(1).cast("bigint").alias("vw"))
-    return pt.partition(e, v, K, ALPHA, 0, max_rounds=1)[0]
+    return pt.partition(e, v, K, ALPHA, 0, max_rounds=32)[0]
 
 
 @register()
 def q_refine_labels(s, d):
-    """PP from labels v mod 4, refined for a few rounds."""
+    """PP from labels v mod 4, refined for up to 32 rounds."""
     from cutweave.model import RefineOptions
 
     e = materialize(edges_pp(s, d))
     v = materialize(table(s, d, "part").select(F.col("p_partkey").alias("v"), F.lit(1).cast("bigint").alias("vw")))
-    return pt.refine(e, v, labels(v), RefineOptions(K, ALPHA, max_rounds=1))[0]
+    return pt.refine(e, v, labels(v), RefineOptions(K, ALPHA, max_rounds=32, stale_rounds=3))[0]
 
 
 @register()

@@ -158,3 +158,16 @@ def test_generators(spark):
         e = prep.synthetic(spark, kind, 64)
         assert prep.reverse_violations(e).isEmpty() and prep.without_loops(e).count() == e.count()
     assert e.count() == 2 * (64 - 8)
+
+
+def test_registered_partitions_refine_for_32_rounds(spark, sf_dir, monkeypatch):
+    from cutweave.plans import queries
+
+    seen = []
+    monkeypatch.setattr(pt, "refine", lambda e, v, labels, options=None: (seen.append(options), (labels, None))[1])
+    queries.q_refine_labels(spark, sf_dir)
+    monkeypatch.setattr(pt, "coarsen", lambda e, v, o: Hierarchy([(e, v)], []))
+    monkeypatch.setattr(pt, "initial_partition", lambda e, v, *a: v.withColumn("part", F.lit(0)))
+    monkeypatch.setattr(pt, "uncoarsen", lambda h, labels, options=None: (seen.append(options), (labels, []))[1])
+    queries.q_partition_pipeline(spark, sf_dir)
+    assert [(o.max_rounds, o.stale_rounds) for o in seen] == [(32, 3)] * 2
