@@ -195,6 +195,7 @@ class Shard:
             code = (code << np.uint64(8)) | buf[k : k + n]
         rank = np.unique(code, return_inverse=True)[1].astype(np.int64) + 1
         rank[left < STEP] = 0  # ends come first, and are told apart by place alone
+        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)  # without gaps, so that its greatest counts the classes
         covered = STEP
         while covered <= sizes.max():  # to the end: a cruder order would not agree with the merge
             ahead = np.zeros(n, dtype=np.int64)

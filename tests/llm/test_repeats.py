@@ -40,6 +40,21 @@ def test_merged_transforms_find_all_repeats():
         assert [x.tolist() for x in bwt_dedup.repeated_windows(strings, length, rng.choice([50, 200, 10_000]))] == want
 
 
+def test_shards_are_ordered_to_the_end():
+    rng = random.Random(8)
+    for _ in range(400):
+        # long strings that share 16 bytes and more, and then differ
+        head = bytes(rng.choices(b"abcdef", k=rng.randint(16, 40)))
+        strings = [head + bytes(rng.choices(b"abcdef", k=rng.randint(8, 30))) for _ in range(rng.randint(2, 6))]
+        shard = bwt_dedup.Shard(strings, list(range(len(strings))))
+        rest = [strings[k][i:] for k, i in zip(shard.string[shard.order].tolist(), shard.offset[shard.order].tolist(), strict=True)]
+        long = [x for x in rest if len(x) >= bwt_dedup.STEP]
+        assert rest[len(rest) - len(long) :] == long
+        # whole steps of bytes, the end of a string before all else
+        whole = [tuple(x[i : i + 8] if len(x) >= i + 8 else b"" for i in range(0, len(x) + 1, 8)) for x in long]
+        assert whole == sorted(whole)
+
+
 def test_op4_equals_brute_force(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     docs = [(i, t[:6000]) for i, t in docs]
