@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -211,26 +212,42 @@ def find_exact(seg: Segment, phrases: list[tuple[bytes, ...]]) -> Iterator[tuple
             yield no, starts
 
 
-def find_near(seg: Segment, phrase: tuple[bytes, ...], slop: int) -> np.ndarray:
-    """First positions of spans of at most len(phrase) + slop words that hold
-    every distinct word of the phrase, in any order; each span starts at one
-    of them. Found by sweeping the rarest word's list against the others."""
-    terms = {seg.term_no.get(w, -1) for w in phrase}
-    if -1 in terms or not terms:
-        return np.zeros(0, dtype=np.int64)
+def spans_near(seg: Segment, phrase: tuple[bytes, ...], slop: int) -> np.ndarray:
+    """Rows (first, end): the shortest span from each start that holds the
+    words of the phrase, in any order and as often as the phrase has them, in
+    at most len(phrase) + slop words of one document; a span starts at one of
+    the words. The lists are read only near the rarest word's positions."""
+    need = Counter(phrase)
+    none = np.zeros((0, 2), dtype=np.int64)
+    if not need or any(w not in seg.term_no for w in need):
+        return none
     reach = len(phrase) + slop
-    lists = sorted((seg.list_of(t) for t in terms), key=len)
-    if not len(lists[0]):
-        return np.zeros(0, dtype=np.int64)
-    # a span that holds all words starts at one of them, at most reach - 1 before an occurrence of the rarest
-    cand = np.concatenate(lists)
-    cand = np.unique(cand)
-    for lst in lists:
-        nxt = np.searchsorted(lst, cand)
-        ok = nxt < len(lst)
-        ok[ok] = lst[nxt[ok]] - cand[ok] < reach
-        cand = cand[ok]
-    return cand
+    lists = sorted(((seg.list_of(seg.term_no[w]), n) for w, n in need.items()), key=lambda x: len(x[0]))
+    rare = lists[0][0]
+    if any(len(lst) < n for lst, n in lists):
+        return none
+    # a span starts at most reach - 1 before a place of the rarest word
+    cand = []
+    for lst, _ in lists:
+        lo, hi = np.searchsorted(lst, rare - reach, side="right"), np.searchsorted(lst, rare, side="right")
+        size = hi - lo
+        cand.append(lst[np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)])
+    first = np.unique(np.concatenate(cand))
+    end = first.copy()
+    for lst, n in lists:
+        last = np.searchsorted(lst, first) + n - 1
+        ok = last < len(lst)
+        first, last = first[ok], last[ok]
+        end = np.maximum(end[ok], lst[last] + 1)
+        ok = end - first <= reach
+        first, end = first[ok], end[ok]
+    ok = seg.locate(first) == seg.locate(end - 1)
+    return np.stack([first[ok], end[ok]], axis=1)
+
+
+def find_near(seg: Segment, phrase: tuple[bytes, ...], slop: int) -> np.ndarray:
+    """First positions of the spans of :func:`spans_near`."""
+    return spans_near(seg, phrase, slop)[:, 0]
 
 
 def spans_of(starts: list[tuple[np.ndarray, int]]) -> np.ndarray:
@@ -332,12 +349,47 @@ def load_segment(n_words: list[int], terms: list[bytes], lengths: bytes, lists:
     return unpack_lists([bytes(t) for t in terms], lengths, lists, base, n)
 
 
-def search_index(index: DataFrame, blocks: Iterable[Phrases], size: int = WINDOW) -> DataFrame:
+NEAR = "doc_id bigint, item_id string, first bigint, end bigint"
+
+
+def search_near(index: DataFrame, blocks: Iterable[Phrases], slop: int, size: int = WINDOW) -> DataFrame:
+    """Columns of NEAR: each span of an indexed document that holds the words
+    of a phrase of the item within ``slop`` words more than it has."""
+    sc = index.sparkSession.sparkContext
+
+    def one(sent: Broadcast) -> Callable:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for r in b.itertuples(index=False):
+                    seg = load_segment(list(r.n_words), list(r.terms), r.list_lengths, r.lists, size)
+                    found: set[tuple[int, str, int, int]] = set()
+                    for phrase, items in zip(sent.value.words, sent.value.items, strict=True):
+                        spans = spans_near(seg, phrase, slop)
+                        for d, (lo, hi) in zip(seg.locate(spans[:, 0]).tolist(), spans.tolist(), strict=True):
+                            at = int(seg.base[d])
+                            found.update((d, i, lo - at, hi - at) for i in items)
+                    out = pd.DataFrame(sorted(found), columns=["doc_id", "item_id", "first", "end"])
+                    ids = [None if i is None or i != i else int(i) for i in r.doc_ids]
+                    yield out.assign(doc_id=pd.array([ids[d] for d in out["doc_id"]], dtype="Int64"))
+
+        return run
+
+    out = None
+    for block in blocks:  # each of bounded size: see BLOCK_BYTES
+        part = index.mapInPandas(one(sc.broadcast(block)), NEAR)
+        out = part if out is None else out.unionByName(part)
+    return index.sparkSession.createDataFrame([], NEAR) if out is None else out
+
+
+def search_index(index: DataFrame, blocks: Iterable[Phrases], size: int = WINDOW, slop: int | None = None) -> DataFrame:
     """Verdict on every indexed document: doc_id, and the columns of RESULT.
+    With ``slop``, the proximity matches instead: see :func:`search_near`.
 
     Every block is a pass over the segments' rows that adds what it finds to
     them; only one block is held by a task at a time, and nothing is joined.
     """
+    if slop is not None:
+        return search_near(index, blocks, slop, size)
     sc = index.sparkSession.sparkContext
     columns = index.columns
     rows = index.withColumn("found", F.lit("[]"))
@@ -417,6 +469,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     return search_index(index, chain([first], [second] if second else [], blocks), size)
 
 
+def proximity(docs: DataFrame, items: DataFrame, slop: int, size: int = WINDOW) -> DataFrame:
+    """Proximity matches of the items' windows in the documents: columns of
+    NEAR, by the same stored index as :func:`decontaminate`. Where an item's
+    windows are in two blocks, both may find one span: it then stands twice."""
+    blocks = phrase_blocks(items, size)
+    first, second = next(blocks), next(blocks, None)
+    index = materialize(build_index(docs, first.vocabulary if second is None else None, size), "postings")
+    return search_index(index, chain([first], [second] if second else [], blocks), size, slop)
+
+
 def keep_clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """``docs`` without contaminated rows; all columns kept, nothing shuffled."""
     (found,) = fresh(docs, "decontamination")

@@ -2,9 +2,10 @@
 
 import hashlib
 import os
+import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -258,3 +259,26 @@ def test_whole_classes_are_dealt_as_the_heap_would():
         got = sharding.place_equal(loads, n, size)
         assert sum(got) == n
         assert sorted(x + c * size for x, c in zip(loads, got, strict=True)) == sorted(now)
+
+
+def near_brute(words, phrase, slop):
+    out = []
+    for i, w in enumerate(words):
+        for j in range(i + 1, min(len(words), i + len(phrase) + slop) + 1):
+            if w in phrase and not Counter(phrase) - Counter(words[i:j]):
+                out.append((i, j))
+                break
+    return out
+
+
+def test_op5_proximity_equals_brute_force(spark):
+    rng = random.Random(9)
+    text = lambda lo, hi: " ".join(rng.choices("abcdefgh", k=rng.randint(lo, hi)))
+    docs = [(i, text(0, 40)) for i in range(60)] + [(60, None), (None, "a b c d a")]
+    items = [("x", "a b a"), ("y", "h g f e d"), ("z", "a q"), ("w", text(7, 7)), ("v", "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    asked = spark.createDataFrame(items, "item_id string, text string")
+    for slop in (0, 3, 30):  # 30: more than the gap between documents
+        want = {(d, i, lo, hi) for d, t in docs for i, q in items for p in positional_index.windows_of(q.split(), 5) for lo, hi in near_brute((t or "").split(), p, slop)}
+        got = [tuple(r) for r in positional_index.proximity(df, asked, slop, 5).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
