@@ -258,6 +258,16 @@ def q_zero_degree(s, d):
     return prep.zero_degree(edges_pp(s, d).filter("src % 7 <> 0 and dst % 7 <> 0"), vertices(s, d))
 
 
+@register(with_sql(E, V, final="SELECT v.v, count(e.src) AS deg FROM v LEFT JOIN e ON e.src = v.v GROUP BY 1"))
+def q_degree_whole(s, d):
+    return prep.degree(edges_pp(s, d), vertices(s, d))
+
+
+@register(with_sql(E, V, final="SELECT v, vw FROM v WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = v.v)"))
+def q_zero_degree_whole(s, d):
+    return prep.zero_degree(edges_pp(s, d), vertices(s, d))
+
+
 @register(
     with_sql(
         R, "n AS (SELECT src, dst, count(*) AS n FROM r GROUP BY 1, 2)", "j AS (SELECT a.*, b.n AS m FROM n a LEFT JOIN n b ON a.src = b.dst AND a.dst = b.src)",
@@ -274,6 +284,11 @@ def q_reverse_violations(s, d):
     return prep.reverse_violations(edges_pp(s, d).filter("src < dst or src % 3 = 0"))
 
 
+@register(with_sql(R, "n AS (SELECT src, dst, w, count(*) AS n FROM r GROUP BY 1, 2, 3)", final="SELECT src, dst, w, n FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.src = a.dst AND b.dst = a.src AND b.w = a.w AND b.n = a.n)"))
+def q_reverse_violations_raw(s, d):
+    return prep.reverse_violations(raw(s, d))
+
+
 @register(with_sql(R, final="SELECT src AS v, sum(w)::BIGINT AS row_sum, max(w) AS row_max, bool_and(up) AS ascending FROM (SELECT *, coalesce(lag(dst) OVER (PARTITION BY src ORDER BY ord) < dst, true) AS up FROM r) GROUP BY 1"))
 def q_row_certificate(s, d):
     return prep.row_certificate(raw(s, d))
@@ -399,6 +414,11 @@ def q_isolated_packing(s, d):
     return co.pack_isolated(edges_pp(s, d).filter("src % 7 <> 0 and dst % 7 <> 0"), vertices(s, d), 12)
 
 
+@register(with_sql(E, V, "z AS (SELECT v, vw, sum(vw) OVER (ORDER BY v) AS run FROM v WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = v.v))", "b AS (SELECT v, ((run - vw) // 12) AS bin FROM z WHERE (run - vw) // 12 = (run - 1) // 12)", final="SELECT v, min(v) OVER (PARTITION BY bin) AS rep FROM b"))
+def q_isolated_packing_whole(s, d):
+    return co.pack_isolated(edges_pp(s, d), vertices(s, d), 12)
+
+
 @register(with_sql(E, V, M, final="SELECT a.c AS src, b.c AS dst, sum(w)::BIGINT AS w FROM e JOIN m a ON a.v = e.src JOIN m b ON b.v = e.dst WHERE a.c <> b.c GROUP BY 1, 2"))
 def q_contract_edges(s, d):
     return gr.contract_edges(edges_pp(s, d), mapping(vertices(s, d)))
