@@ -133,20 +133,24 @@ def build_index(rows: DataFrame, k: int) -> tuple[DataFrame, Codebooks | None]:
 
 
 class Best:
-    """The ``k`` best entries of each query so far."""
+    """The ``k`` best entries of each query so far; of equal scores those of
+    the smallest ids."""
 
     def __init__(self, n: int, k: int):
         self.k = k
         self.score = np.full((n, k), -np.inf)
         self.entry = np.full((n, k), -1, dtype=np.int64)
+        self.least = np.full((n, k), np.iinfo(np.int64).max)
 
-    def add(self, lo: int, score: np.ndarray, entry: np.ndarray) -> None:
-        """Rows of candidates for the queries from ``lo`` on."""
+    def add(self, lo: int, score: np.ndarray, entry: np.ndarray, least: np.ndarray) -> None:
+        """Rows of candidates, each with its smallest id, for the queries from
+        ``lo`` on."""
         hi = lo + len(score)
         s = np.concatenate([self.score[lo:hi], score], axis=1)
         e = np.concatenate([self.entry[lo:hi], entry], axis=1)
-        top = np.argsort(-s, axis=1, kind="stable")[:, : self.k]
-        self.score[lo:hi], self.entry[lo:hi] = np.take_along_axis(s, top, 1), np.take_along_axis(e, top, 1)
+        i = np.concatenate([self.least[lo:hi], least], axis=1)
+        top = np.lexsort((i, -s), axis=1)[:, : self.k]
+        self.score[lo:hi], self.entry[lo:hi], self.least[lo:hi] = (np.take_along_axis(x, top, 1) for x in (s, e, i))
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -154,8 +158,9 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("qd,qcd->qc", q, x)
 
 
-def search_batch(books: Codebooks, q: np.ndarray, x: np.ndarray, codes: np.ndarray, error: np.ndarray, first: int, best: Best, candidates: int = CANDIDATES) -> None:
-    """Scores a batch of entries, numbered from ``first``, for all queries."""
+def search_batch(books: Codebooks, q: np.ndarray, x: np.ndarray, codes: np.ndarray, error: np.ndarray, least: np.ndarray, first: int, best: Best, candidates: int = CANDIDATES) -> None:
+    """Scores a batch of entries, numbered from ``first`` and with ``least``
+    as their smallest ids, for all queries."""
     reach = np.sqrt((q**2).sum(1))
     for lo in range(0, len(q), 128):
         part = q[lo : lo + 128]
@@ -165,7 +170,7 @@ def search_batch(books: Codebooks, q: np.ndarray, x: np.ndarray, codes: np.ndarr
             rough += table[:, m][:, codes[:, m]]
         c = min(candidates, len(x))
         top = np.argpartition(-rough, c - 1, axis=1)[:, :c] if c < len(x) else np.tile(np.arange(c), (len(part), 1))
-        best.add(lo, exact_scores(part, x[top]), first + top)
+        best.add(lo, exact_scores(part, x[top]), first + top, least[top])
         if c == len(x):
             continue
         # the bound, with room for rounding: what could still beat the k-th best
@@ -174,7 +179,7 @@ def search_batch(books: Codebooks, q: np.ndarray, x: np.ndarray, codes: np.ndarr
         np.put_along_axis(rough, top, -np.inf, 1)
         for i in np.flatnonzero((rough >= need[:, None]).any(axis=1)).tolist():
             more = np.flatnonzero(rough[i] >= need[i])
-            best.add(lo + i, exact_scores(part[i : i + 1], x[more][None]), (first + more)[None])
+            best.add(lo + i, exact_scores(part[i : i + 1], x[more][None]), (first + more)[None], least[more][None])
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
@@ -208,7 +213,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
             for b in batches:
                 x = np.array(b["v"].tolist(), dtype=np.float64)
                 codes = np.frombuffer(b"".join(b["codes"]), dtype=np.uint8).reshape(len(b), -1)
-                search_batch(sent_books.value, q, x, codes, b["error"].to_numpy(), len(ids), best)
+                search_batch(sent_books.value, q, x, codes, b["error"].to_numpy(), np.array([i[0] for i in b["ids"]], dtype=np.int64), len(ids), best)
                 ids.extend(b["ids"].tolist())
             for lo in range(0, len(q), 1024):
                 score, entry = best.score[lo : lo + 1024], best.entry[lo : lo + 1024]

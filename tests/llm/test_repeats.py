@@ -129,3 +129,11 @@ def test_op8_odd_rows(spark, monkeypatch):
     small = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id bigint, embedding array<float>")
     assert answers(additive_quantization.search(small)) == [(0, 1, 1, 1.0)]
     assert additive_quantization.search(df.limit(0)).count() == 0
+
+
+def test_op8_ties_go_to_smaller_ids(spark):
+    # far more distinct vectors than k tie for each query, and arrive by falling ids
+    rows = [(i, [1.0, *(float(i >> b & 1) for b in range(9))]) for i in range(1, 400)]
+    rows = [(0, [1.0, *[0.0] * 9])] + rows
+    df = spark.createDataFrame(rows[::-1], "vec_id bigint, embedding array<float>").coalesce(1)
+    assert answers(additive_quantization.search(df)) == nearest(rows, 20, 20)
