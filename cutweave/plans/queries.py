@@ -409,6 +409,14 @@ def q_merge_budget(s, d):
     return co.merge_budget(co.two_hop_pairs(co.singleton_favorites(p, v, c), CAP), c, 40)
 
 
+@register(with_sql(*LOOSE, *FAV, *PAIRS, "bd AS (SELECT greatest(0, count(DISTINCT c) - (count(*) + 1) // 2) AS budget FROM c)", "bg AS (SELECT *, row_number() OVER (ORDER BY target, gain DESC, tie DESC, v) AS pos FROM pr)", final="SELECT bg.v, c.c AS target FROM bg JOIN c ON c.v = bg.mate, bd WHERE pos <= budget"))
+def q_merge_budget_derived(s, d):
+    """With the budget of the plan, which grows with the graph."""
+    p, v, c = loose(s, d)
+    n, count = c.agg(F.count(F.lit(1)), F.countDistinct("c")).first()
+    return co.merge_budget(co.two_hop_pairs(co.singleton_favorites(p, v, c), CAP), c, max(0, count - -(-n // 2)))
+
+
 @register(with_sql(E, V, SUB, "z AS (SELECT v, vw, sum(vw) OVER (ORDER BY v) AS run FROM v WHERE v NOT IN (SELECT src FROM t))", "b AS (SELECT v, ((run - vw) // 12) AS bin FROM z WHERE (run - vw) // 12 = (run - 1) // 12)", final="SELECT v, min(v) OVER (PARTITION BY bin) AS rep FROM b"))
 def q_isolated_packing(s, d):
     return co.pack_isolated(edges_pp(s, d).filter("src % 7 <> 0 and dst % 7 <> 0"), vertices(s, d), 12)
@@ -574,7 +582,7 @@ def q_refine_labels(s, d):
 
 @register()
 def q_synthetic_social(s, d):
-    return prep.synthetic(s, "social", 1024)
+    return prep.synthetic(s, "social")
 
 
 def queries() -> dict[str, Query]:

@@ -194,3 +194,14 @@ def test_graph_queries_on_whole_tables(spark, sf_dir):
     degrees, alone, packed, one_way = same_as_sql(spark, sf_dir, "degree_whole", "zero_degree_whole", "isolated_packing_whole", "reverse_violations_raw")
     assert len(degrees) == 200 and all(n for v, n in degrees if v % 7 == 0)
     assert len(alone) == len([v for v, n in degrees if not n]) and len(packed) <= len(alone) and one_way
+
+
+def test_merge_budget_grows_with_the_graph(spark, sf_dir):
+    (derived,) = same_as_sql(spark, sf_dir.replace("sf0.001", "sf0.01"), "merge_budget_derived")
+    assert len(derived) > 40
+
+
+def test_registered_synthetic_graph_has_the_suites_size(spark, sf_dir):
+    from cutweave.plans import queries
+
+    assert queries.q_synthetic_social(spark, sf_dir).agg(F.countDistinct("src")).first()[0] == 16384
