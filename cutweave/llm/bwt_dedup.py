@@ -179,10 +179,11 @@ def classify(rows: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """Sorted suffixes of some strings, by STEP bytes at a time, an end before
-    all else; and the transform: the STEP bytes before each suffix."""
+    """Suffixes of some strings, sorted by their first ``depth`` bytes, STEP at
+    a time, an end before all else; the transform: the STEP bytes before each
+    suffix; and its mapping: where the suffix that begins with these stands."""
 
-    def __init__(self, strings: list[bytes], numbers: list[int]):
+    def __init__(self, strings: list[bytes], numbers: list[int], depth: int = LENGTH):
         sizes = np.array([len(s) for s in strings], dtype=np.int64)
         n = int(sizes.sum() + len(sizes))
         base = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
@@ -190,84 +191,109 @@ class Shard:
         self.offset = np.arange(n) - np.repeat(base, sizes + 1)
         self.string = np.repeat(np.array(numbers, dtype=np.int64), sizes + 1)
         left = np.repeat(sizes, sizes + 1) - self.offset
-        code = np.zeros(n, dtype=np.uint64)
-        for k in range(STEP):
-            code = (code << np.uint64(8)) | buf[k : k + n]
-        rank = np.unique(code, return_inverse=True)[1].astype(np.int64) + 1
-        rank[left < STEP] = 0  # ends come first, and are told apart by place alone
-        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)  # without gaps, so that its greatest counts the classes
+        code = np.ndarray(shape=(n,), dtype=">u8", buffer=buf.data, strides=(1,)).astype(np.uint64)
+        # ends come first, and are told apart by place alone; a rank is the place where its class begins
+        self.order = np.concatenate([np.flatnonzero(left < STEP), np.zeros(0, dtype=np.int64)])
+        long = np.flatnonzero(left >= STEP)
+        long = long[np.argsort(code[long], kind="stable")]
+        n_short = len(self.order)
+        self.order = np.concatenate([self.order, long])
+        place = np.arange(n)
+        new = np.ones(n, dtype=bool)
+        new[n_short + 1 :] = code[long[1:]] != code[long[:-1]]
+        new[n_short : n_short + 1] = True
+        new[1:n_short] = False  # one class, as far as longer suffixes see
+        self.values = code[long[new[n_short:]]]  # distinct, ascending
+        kinds = np.zeros(n, dtype=np.int64)
+        kinds[long] = np.cumsum(new[n_short:]) - 1
+        rank = np.empty(n, dtype=np.int64)
+        rank[self.order] = np.maximum.accumulate(np.where(new, place, 0))
         covered = STEP
-        while covered <= sizes.max():  # to the end: a cruder order would not agree with the merge
-            ahead = np.zeros(n, dtype=np.int64)
-            has = left >= covered
-            ahead[has] = rank[np.flatnonzero(has) + covered]
-            n_before = int(rank.max())
-            rank = np.unique(rank * (n_before + 1) + ahead, return_inverse=True)[1].astype(np.int64)
-            covered *= 2
-            if rank.max() == n_before:
+        while covered < depth:
+            # only classes of two suffixes or more are sorted on, by the rank of what follows
+            alone = new & np.append(new[1:], True)
+            alone[:n_short] = True
+            at = np.flatnonzero(~alone)
+            if not len(at):
                 break
-        self.order = np.argsort(rank, kind="stable")
-        short = left[self.order] < STEP
-        self.order = np.concatenate([self.order[short], self.order[~short]])
-        self.n_short = int(short.sum())
-        self.inner = self.offset[self.order] >= STEP  # has STEP bytes before it
-        self.symbol = code[np.where(self.inner, self.order - STEP, 0)]
-
-
-def merge_shards(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' suffixes in order of their first ``depth``
-    bytes (shard number of each), and the block of equal ones it is in."""
-    counts, shorts = [len(s.order) for s in shards], [s.n_short for s in shards]
-    kind = np.uint8 if len(shards) < 256 else np.int32
-    ends = np.repeat(np.arange(len(shards)), shorts).astype(kind)
-    z = np.concatenate([ends, np.repeat(np.arange(len(shards)), np.array(counts) - shorts).astype(kind)])
-    symbols = np.unique(np.concatenate([s.symbol for s in shards]), return_inverse=True)[1] + 1
-    symbols[~np.concatenate([s.inner for s in shards])] = 0
-    symbols = symbols.astype(np.uint16 if symbols.max(initial=0) < 1 << 16 else np.int32)
-    n_short = len(ends)
+            own = self.order[at]
+            ahead = np.where(left[own] >= covered, rank[np.minimum(own + covered, n - 1)] + 1, 0)
+            again = np.lexsort((ahead, rank[own])) if n >= 1 << 31 else np.argsort((rank[own] << 32) | ahead, kind="stable")
+            before, ahead = rank[own[again]], ahead[again]
+            self.order[at] = own[again]
+            split = np.ones(len(at), dtype=bool)
+            split[1:] = (before[1:] != before[:-1]) | (ahead[1:] != ahead[:-1])
+            new[at] = split
+            rank[self.order[at]] = np.maximum.accumulate(np.where(split, at, 0))
+            covered *= 2
+        where = np.empty(n, dtype=np.int64)
+        where[self.order] = place
+        self.back = where[np.maximum(self.order - STEP, 0)]  # of suffixes with STEP bytes before them
+        self.symbol = kinds[np.maximum(self.order - STEP, 0)]  # number in ``values``
+
+    def after(self, depth: int) -> np.ndarray:
+        """Suffixes with ``depth`` bytes before them, as places in the order."""
+        return np.flatnonzero(self.offset[self.order] >= depth)
+
+
+def merge_shards(shards: list[Shard], depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each shard the suffixes whose first ``depth`` bytes begin another
+    suffix too, as places in its order, and the block of equal ones each is in.
+
+    The interleave starts with the suffixes that have ``depth`` bytes before
+    them. A step puts STEP bytes before each: a stable sort by them refines
+    the interleave, and the shards' mappings say which suffixes stand there
+    now; that many more bytes of each prefix are then in order. A block is an
+    interval of equal prefixes; the common prefix at its border is shorter
+    than the bytes so far. A suffix that is alone in its block stays alone
+    however it is extended, so it goes; that settles most in a few steps.
+    """
+    own = [s.after(depth) for s in shards]
+    z = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) < 256 else np.int32), [len(x) for x in own])
     block = np.zeros(len(z), dtype=np.int32)  # of no bytes, all prefixes are equal
-    n_blocks = -1
+    values = np.sort(np.concatenate([s.values for s in shards]), kind="stable")
+    values = values[np.append(True, values[1:] != values[:-1])[: len(values)]]
+    kind = np.uint16 if len(values) < 1 << 16 else np.int32
+    symbols = [np.searchsorted(values, s.values).astype(kind)[s.symbol] for s in shards]
     for _ in range(0, depth, STEP):
         # the i-th suffix of a shard in the interleave is the i-th of its transform
-        chars = np.empty(len(z), dtype=symbols.dtype)
-        chars[np.argsort(z, kind="stable")] = symbols
-        order = np.argsort(chars, kind="stable")[n_short:]
-        ch, bl = chars[order], block[order]
-        new = np.ones(len(order), dtype=np.int32)
-        new[1:] = (ch[1:] != ch[:-1]) | (bl[1:] != bl[:-1])
-        z = np.concatenate([ends, z[order]])
-        block[:n_short] = np.arange(n_short)
-        block[n_short:] = n_short - 1 + np.cumsum(new)
-        now = int(new.sum())
-        if now == n_blocks:  # no block was split: none ever will be
-            break
-        n_blocks = now
-    return z, block
+        chars = np.empty(len(z), dtype=kind)
+        chars[np.argsort(z, kind="stable")] = np.concatenate([x[i] for x, i in zip(symbols, own, strict=True)])
+        order = np.argsort(chars, kind="stable")
+        ch, bl, z = chars[order], block[order], z[order]
+        new = np.ones(len(z) + 1, dtype=bool)
+        new[1:-1] = (ch[1:] != ch[:-1]) | (bl[1:] != bl[:-1])
+        keep = ~(new[:-1] & new[1:])
+        block = np.cumsum(new[:-1])[keep]
+        stays = keep[np.argsort(z, kind="stable")]
+        z = z[keep]
+        ends = np.cumsum([len(x) for x in own])[:-1]
+        own = [np.sort(s.back[i])[k] for s, i, k in zip(shards, own, np.split(stays, ends), strict=True)]
+    blocks = np.split(block[np.argsort(z, kind="stable")], np.cumsum([len(x) for x in own])[:-1])
+    return list(zip(own, blocks, strict=True))
 
 
 def repeated_windows(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHARD) -> list[np.ndarray]:
     """For each string, the starts of its ``length``-byte windows that start
-    anywhere else too. All strings must be of ``length`` bytes or more."""
+    anywhere else too. All strings must be of ``length`` bytes or more, and
+    ``length`` a multiple of STEP."""
     shards, held, numbers, size = [], [], [], 0
     for no, s in enumerate(strings):
         held.append(s)
         numbers.append(no)
         size += len(s)
         if size >= shard_bytes:
-            shards.append(Shard(held, numbers))
+            shards.append(Shard(held, numbers, length))
             held, numbers, size = [], [], 0
     if held:
-        shards.append(Shard(held, numbers))
-    found: list[list[int]] = [[] for _ in strings]
-    if shards:
-        z, block = merge_shards(shards, length)
-        _, inverse, count = np.unique(block, return_inverse=True, return_counts=True)
-        many = count[inverse] > 1
-        for k, s in enumerate(shards):
-            own = s.order[many[z == k]]
-            for no, off in zip(s.string[own].tolist(), s.offset[own].tolist(), strict=True):
-                found[no].append(off)
-    return [np.sort(np.array(f, dtype=np.int64)) for f in found]
+        shards.append(Shard(held, numbers, length))
+    found = [np.zeros(0, dtype=np.int64)] * len(strings)
+    for s, (own, _) in zip(shards, merge_shards(shards, length) if shards else [], strict=True):
+        at = np.sort(s.order[own])
+        no, first = np.unique(s.string[at], return_index=True)
+        for k, offsets in zip(no.tolist(), np.split(s.offset[at], first[1:]), strict=False):  # none: one empty part
+            found[k] = offsets
+    return found
 
 
 def runs(starts: np.ndarray, length: int) -> np.ndarray:
