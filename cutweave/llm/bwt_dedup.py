@@ -23,6 +23,7 @@ Hashes of 128 bits stand for texts and for contexts under an anchor hash.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -354,6 +355,29 @@ def split_crowds(ctx: DataFrame, length: int, gram: int, crowd: int) -> tuple[Da
     return out.select(*columns), found
 
 
+def narrowed(anchors: list[int], offs: list[int], raws: list[bytes], length: int = LENGTH, parts: int = 4) -> list[tuple[int, int]]:
+    """First byte and end of the part of each context whose windows may repeat.
+
+    The windows that reach lo to hi bytes to the left of their anchor share a
+    core of bytes about it. If no other context of the anchor has that core,
+    none of them repeats. A context without any other such core gets (0, 0).
+    """
+    out, step = [(0, 0)] * len(raws), -(-length // parts)
+    for lo in range(0, length, step):
+        hi = lo + step - 1
+        own, tally = [], Counter()
+        for i, (h, off, raw) in enumerate(zip(anchors, offs, raws, strict=True)):
+            least, most = max(lo, length - len(raw) + off), min(hi, off)
+            if least <= most:
+                core = (h, xxhash.xxh3_64_intdigest(raw[off - lo : off + length - hi]))
+                own.append((i, core, off - most, off - least + length))
+                tally[core] += 1
+        for i, core, first, end in own:
+            if tally[core] > 1:
+                out[i] = (min(out[i][0], first), max(out[i][1], end)) if out[i][1] else (first, end)
+    return out
+
+
 def resolve(ctx: DataFrame, length: int, bucket_bytes: int = BUCKET) -> DataFrame:
     """Runs of repeated windows of the open contexts: r1, r2, first, end."""
     total = ctx.agg(F.sum(F.octet_length("raw")).alias("b")).first()["b"] or 0
@@ -364,9 +388,12 @@ def resolve(ctx: DataFrame, length: int, bucket_bytes: int = BUCKET) -> DataFram
         open_ = ~pdf["settled"].to_numpy(dtype=bool)
         starts = pdf["start"].to_numpy()
         out: dict[str, list] = {"r1": [], "r2": [], "first": [], "end": []}
-        for no, found in enumerate(repeated_windows([bytes(x) for x in pdf["raw"]], length)):
+        raws = [bytes(x) for x in pdf["raw"]]
+        part = narrowed(pdf["h"].tolist(), pdf["off"].tolist(), raws, length)
+        left = [no for no, (_, end) in enumerate(part) if end]
+        for no, found in zip(left, repeated_windows([raws[no][slice(*part[no])] for no in left], length), strict=True):
             if open_[no]:
-                for lo, hi in runs(found, length).tolist():
+                for lo, hi in (runs(found, length) + part[no][0]).tolist():
                     out["r1"].append(pdf["r1"].iat[no])
                     out["r2"].append(pdf["r2"].iat[no])
                     out["first"].append(lo + starts[no])
