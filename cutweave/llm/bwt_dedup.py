@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutweave.llm.common import materialize
+from cutweave.llm.common import join_hot, materialize, release
 
 LENGTH = 200
 GRAM = 32
@@ -448,14 +448,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     removed run in turn.
 
     Null and empty texts have no bytes and keep the hash of none. A text that
-    stands twice goes whole, if it has ``length`` bytes. Null ids stay null.
+    stands twice goes whole, if it has ``length`` bytes; so do repeated rows,
+    as each is a document. Which of equal strings came first makes no
+    difference, so there are no ties. Null ids stay null; an empty table gives
+    no rows. Only doc_id and text are read, so other columns cannot clash. A
+    text is one value of a task: its anchors are about a hundredth of its bytes.
     """
     r1, r2 = text_refs(F.col("text"))
-    places = classify(anchor_rows(docs, length))
-    of_text = places.groupBy("r1", "r2").agg(F.collect_set(F.struct("start", "size", "h", "off", "settled", "open", "sample")).alias("places"))
-    of_text = of_text.select(F.col("r1").alias("p1"), F.col("r2").alias("p2"), "places")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", r1.alias("r1"), r2.alias("r2"))
-    rows = rows.join(of_text, (F.col("r1") == F.col("p1")) & (F.col("r2") == F.col("p2")), "left").drop("p1", "p2")
+    refs = ["r1", "r2"]
+    places = classify(anchor_rows(docs, length))
+    of_text = places.groupBy(*refs).agg(F.collect_set(F.struct("start", "size", "h", "off", "settled", "open", "sample")).alias("places"))
+    # a text that very many rows hold is a hot key
+    texts = rows.groupBy(*refs).agg(F.count(F.lit(1)).alias("n"))
+    texts = materialize(texts.join(of_text, refs, "left"), "bwt-texts", "zstd")
+    rows = join_hot(rows, texts, refs, "n", ["doc_id"])
     full = RESULT + ", r1 bigint, r2 bigint, text string, is_open boolean, ctx array<struct<h:bigint,start:int,off:int,raw:binary,settled:boolean>>"
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -473,14 +480,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
 
     first = materialize(rows.mapInPandas(settle, full), "bwt-settled", "zstd")
     ctx = first.select("r1", "r2", F.explode("ctx").alias("x")).select("r1", "r2", "x.*")
-    ctx = materialize(ctx.dropDuplicates(["h", "r1", "r2", "start"]), "bwt-contexts", "zstd")
-    ctx, early = split_crowds(ctx, length, GRAM, crowd)
+    held = materialize(ctx.dropDuplicates(["h", "r1", "r2", "start"]), "bwt-contexts", "zstd")
+    ctx, early = split_crowds(held, length, GRAM, crowd)
     more = resolve(ctx, length)
     for x in early:
         more = more.unionByName(x.select("r1", "r2", F.col("first").cast("int"), F.col("end").cast("int")))
-    more = more.groupBy(F.col("r1").alias("p1"), F.col("r2").alias("p2")).agg(F.collect_set(F.struct("first", "end")).alias("more"))
+    more = materialize(more, "bwt-more", "zstd")
+    release(held)
+    more = more.groupBy(*refs).agg(F.collect_set(F.struct("first", "end")).alias("more"))
     left = first.filter("is_open").select("doc_id", "text", "r1", "r2", "spans")
-    left = left.join(more, (F.col("r1") == F.col("p1")) & (F.col("r2") == F.col("p2")), "left").select("doc_id", "text", "spans", "more")
+    held = left.groupBy(*refs).agg(F.count(F.lit(1)).alias("n"))
+    left = join_hot(left, materialize(held.join(more, refs, "left"), "bwt-open", "zstd"), refs, "n", ["doc_id"]).select("doc_id", "text", "spans", "more")
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

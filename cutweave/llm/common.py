@@ -48,7 +48,7 @@ def release(df: DataFrame) -> None:
 HOT = 1024
 
 
-def join_hot(rows: DataFrame, lookup: DataFrame, key: str, n: str, spread: list[str]) -> DataFrame:
+def join_hot(rows: DataFrame, lookup: DataFrame, key: str | list[str], n: str, spread: list[str]) -> DataFrame:
     """Inner join of ``rows`` with ``lookup``, which has each key once, with
     hot keys split over tasks.
 
@@ -59,14 +59,15 @@ def join_hot(rows: DataFrame, lookup: DataFrame, key: str, n: str, spread: list[
     most 2 * HOT lookup rows are added, whatever the data; only the hot keys
     are broadcast. Null keys meet nothing.
     """
+    keys = [key] if isinstance(key, str) else key
     total = lookup.agg(F.sum(n)).first()[0] or 0
     share = max(HOT, total // HOT)
-    salt, salts = fresh(rows.join(lookup.limit(0), key, "left"), "__salt", "__salts")
-    hot = F.broadcast(lookup.filter(F.col(n) > share).select(key, F.ceil(F.col(n) / F.lit(share)).cast("int").alias(salts)))
+    salt, salts = fresh(rows.join(lookup.limit(0), keys, "left"), "__salt", "__salts")
+    hot = F.broadcast(lookup.filter(F.col(n) > share).select(*keys, F.ceil(F.col(n) / F.lit(share)).cast("int").alias(salts)))
     count = F.coalesce(F.col(salts), F.lit(1))
-    dealt = rows.join(hot, key, "left").withColumn(salt, F.pmod(F.xxhash64(*spread), count).cast("int")).drop(salts)
-    each = lookup.drop(n).join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), count - 1))).drop(salts)
-    return dealt.join(each, [key, salt]).drop(salt)
+    dealt = rows.join(hot, keys, "left").withColumn(salt, F.pmod(F.xxhash64(*spread), count).cast("int")).drop(salts)
+    each = lookup.drop(n).join(hot, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), count - 1))).drop(salts)
+    return dealt.join(each, [*keys, salt]).drop(salt)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

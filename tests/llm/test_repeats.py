@@ -5,18 +5,20 @@ import random
 from collections import Counter
 
 import numpy as np
+import xxhash
 
 from cutweave.llm import additive_quantization, bwt_dedup, queries
 
 
 def cut_brute(docs, length):
     raws = [(i, (t or "").encode()) for i, t in docs]
-    n = Counter(b[i : i + length] for _, b in raws for i in range(len(b) - length + 1))
+    window = lambda b, i: xxhash.xxh3_128_digest(b[i : i + length])
+    n = Counter(window(b, i) for _, b in raws for i in range(len(b) - length + 1))
     out = []
     for doc_id, b in raws:
         gone = bytearray(len(b))
         for i in range(len(b) - length + 1):
-            if n[b[i : i + length]] > 1:
+            if n[window(b, i)] > 1:
                 gone[i : i + length] = b"\1" * length
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
@@ -57,9 +59,29 @@ def test_shards_are_ordered_to_the_end():
 
 def test_op4_equals_brute_force(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
-    docs = [(i, t[:6000]) for i, t in docs]
-    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(6)
-    assert plain(bwt_dedup.remove_repeats(df)) == cut_brute(docs, 200)
+    assert max(len(t) for _, t in docs) > 15_000  # whole texts, the longest too
+    assert plain(queries.op4_bwt_dedup(spark, sf_dir)) == cut_brute(docs, 200)
+
+
+def test_parts_of_contexts_that_cannot_repeat_are_left_out():
+    rng = random.Random(11)
+    for trial in range(200):
+        length, gram = 40, 8
+        head, core, tail = (bytes(rng.choices(b"abc", k=k)) for k in (40, gram, 40))
+        offs, raws = [], []
+        for _ in range(rng.randint(1, 8)):
+            left, right = rng.randint(0, 32), rng.randint(0, 32)
+            raw = bytearray(head[40 - left :] + core + tail[:right])
+            if len(raw) < length:
+                continue
+            for _ in range(rng.randint(0, 2)):
+                raw[rng.randrange(len(raw))] = 100
+            offs.append(left)
+            raws.append(bytes(raw))
+        part = bwt_dedup.narrowed([1] * len(raws), offs, raws, length)
+        n = Counter((o - i, r[i : i + length]) for o, r in zip(offs, raws, strict=True) for i in range(len(r) - length + 1))
+        for o, r, (lo, hi) in zip(offs, raws, part, strict=True):
+            assert all(lo <= i and i + length <= hi for i in range(len(r) - length + 1) if n[(o - i, r[i : i + length])] > 1)
 
 
 def made_up(seed):
