@@ -5,8 +5,12 @@ FAN children at a time, first within a file, then over the files. Two
 replicas are compared at their roots; where these differ, only the children
 of differing nodes are looked at, level by level, down to the records.
 
-Everything is JVM-side. No node has more than FAN children, so no task ever
-gathers more than that at once, whatever the size of a file or store.
+A leaf is the records of one id, which are neighbours in their file; so two
+replicas that were packed apart have the same leaves, whatever the offsets.
+
+Everything is JVM-side. No node has more than FAN children, and a leaf's
+records are summed up where they are read, so no task ever gathers more than
+that at once, whatever the size of a file or store.
 """
 
 from __future__ import annotations
@@ -49,11 +53,18 @@ def placed(records: DataFrame) -> DataFrame:
     """Records, or what is known of them, with rec_offset in their file.
 
     Records (page_id, file_no, rec_length, digest) stand in order of page_id,
-    then of their bytes' hash; repeated pages are records of their own. Of
-    the other columns only those that are read later are shuffled.
+    then of their bytes' hash; repeated pages are records of their own. The
+    sums are two-level: a window holds the records of one id whose hashes
+    begin alike, and another the totals of a file's ids.
     """
-    before = Window.partitionBy("file_no").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return records.withColumn("rec_offset", F.coalesce(F.sum("rec_length").over(before), F.lit(0)))
+    head = F.substring("digest", 1, 2)
+    sums = records.groupBy("file_no", "page_id", head.alias("__head")).agg(F.sum("rec_length").alias("__sum"))
+    over = Window.partitionBy("file_no").orderBy("page_id", "__head").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("file_no").alias("__file"), F.col("page_id").alias("__page"), F.col("__head").alias("__of"), F.coalesce(F.sum("__sum").over(over), F.lit(0)).alias("__base"))
+    inner = Window.partitionBy("file_no", "page_id", "__head").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
+    out = records.withColumn("__head", head).withColumn("__in", F.coalesce(F.sum("rec_length").over(inner), F.lit(0)))
+    out = out.join(sums, (F.col("file_no") == F.col("__file")) & F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("__head") == F.col("__of")))
+    return out.withColumn("rec_offset", F.col("__base") + F.col("__in")).select(*records.columns, "rec_offset")
 
 
 def pack(pages: DataFrame) -> DataFrame:
@@ -62,11 +73,14 @@ def pack(pages: DataFrame) -> DataFrame:
     return placed(out.withColumn("digest", F.sha2("record", 256))).drop("digest")
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """One leaf a record: file_no, rec_offset, rec_length, digest; records
-    that come without their bytes bring their digest."""
+def hashed(records: DataFrame) -> DataFrame:
+    """page_id, file_no, rec_offset, rec_length, digest, and the leaf (node)
+    of the file that the record belongs to, which its id alone decides: so a
+    record that was lost, or changed its length, moves no other to another
+    leaf. Records that come without their bytes bring their digest."""
     digest = F.sha2("record", 256) if "record" in records.columns else F.col("digest")
-    return records.select("file_no", "rec_offset", "rec_length", digest.alias("digest"))
+    node = F.coalesce(F.pmod(F.col("page_id"), F.lit(FILE_IDS)), F.lit(0)).cast("bigint")
+    return records.select("page_id", "file_no", "rec_offset", "rec_length", digest.alias("digest"), node.alias("node"))
 
 
 @dataclass
@@ -85,21 +99,21 @@ def parent(what: str, least: int) -> tuple[Column, Column]:
     return F.floor((F.col("file_no") - F.lit(least)) / FAN).cast("bigint"), F.col("node")
 
 
-def build(replicas: dict[str, DataFrame], manifest: DataFrame) -> Trees:
-    """Trees over each replica's leaves.
+def multiset_digest() -> Column:
+    """SHA-256 of the number of records and of the sums of their hashes' four
+    words: the order makes no difference, and an id whose records are very
+    many is summed up before the shuffle."""
+    words = [F.sum(F.conv(F.substring("digest", 1 + 16 * k, 16), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(4)]
+    return F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *words), 256)
 
-    ``manifest`` (file_no, rec_offset, rec_length) says which offset range is
-    which leaf, so a record lost in one replica does not shift the others.
-    """
-    order = Window.partitionBy("file_no").orderBy("rec_offset", "rec_length")
-    ranges = manifest.select("file_no", "rec_offset", "rec_length").withColumn("node", (F.row_number().over(order) - 1).cast("bigint"))
-    ranges = materialize(ranges, "merkle-ranges")
+
+def build(replicas: dict[str, DataFrame]) -> Trees:
+    """Trees over each replica's hashed records."""
     parts = [r.withColumn("replica", F.lit(name)) for name, r in replicas.items()]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    base = rows.join(ranges, ["file_no", "rec_offset", "rec_length"])
-    base = base.select("replica", "file_no", "node", F.col("rec_offset").alias("first"), (F.col("rec_offset") + F.col("rec_length")).alias("last"), "digest")
+    base = rows.groupBy("replica", "file_no", "node").agg(F.min("rec_offset").alias("first"), F.max(F.col("rec_offset") + F.col("rec_length")).alias("last"), multiset_digest().alias("digest"))
     levels, shape = [materialize(base, "merkle-0")], []
     while True:
         top = levels[-1].agg(F.max("node").alias("n"), F.min("file_no").alias("lo"), F.max("file_no").alias("hi")).first()
@@ -117,13 +131,12 @@ def build(replicas: dict[str, DataFrame], manifest: DataFrame) -> Trees:
 
 
 def differing(trees: Trees, a: str, b: str) -> DataFrame:
-    """Leaves in which two replicas differ: file_no, node, digest_a, digest_b
-    (null where the replica has no such record)."""
+    """Leaves in which two replicas differ: file_no, node."""
 
     def compared(level: DataFrame) -> DataFrame:
         cell = lambda name: F.max(F.when(F.col("replica") == name, F.col("digest")))
-        both = level.groupBy("file_no", "node").agg(F.min("first").alias("first"), F.max("last").alias("last"), cell(a).alias("digest_a"), cell(b).alias("digest_b"))
-        return both.filter(~F.col("digest_a").eqNullSafe(F.col("digest_b")))
+        both = level.groupBy("file_no", "node").agg(cell(a).alias("x"), cell(b).alias("y"))
+        return both.filter(~F.col("x").eqNullSafe(F.col("y"))).select("file_no", "node")
 
     bad = compared(trees.levels[-1])
     for depth in range(len(trees.levels) - 2, -1, -1):
@@ -136,17 +149,42 @@ def differing(trees: Trees, a: str, b: str) -> DataFrame:
     return bad
 
 
+def leftover(bad: DataFrame, own: DataFrame, other: DataFrame, tag: str) -> DataFrame:
+    """Records of differing leaves that the other replica does not have as
+    often, numbered within their id: id_rank. Of equal records the last ones."""
+    key = ["file_no", "page_id", "digest"]
+    mine = own.join(bad, ["file_no", "node"], "left_semi")
+    n = other.join(bad, ["file_no", "node"], "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("n_other"))
+    nulls = (mine["file_no"] == n["file_no"]) & mine["page_id"].eqNullSafe(n["page_id"]) & (mine["digest"] == n["digest"])
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("rec_offset"))
+    left = mine.join(n, nulls, "left").select(mine["*"], F.coalesce("n_other", F.lit(0)).alias("n_other")).withColumn("copy", rank).filter("copy > n_other")
+    left = left.withColumn("id_rank", F.row_number().over(Window.partitionBy("file_no", "page_id").orderBy("rec_offset", "digest")))
+    return left.select(*[F.col(c).alias(f"{c}_{tag}") for c in ("page_id", "file_no", "rec_offset", "rec_length", "digest", "id_rank")])
+
+
 def audit(records: DataFrame, replica: DataFrame) -> DataFrame:
     """Records that a replica has altered or lost, or has in addition.
 
     Both: page_id, file_no, rec_offset, rec_length, and record or digest (its
-    SHA-256, where the store was hashed in place). Returns page_id, file_no, rec_offset, rec_length, status (altered, missing or extra),
-    digest_a, digest_b. Equal replicas, and empty ones, give no rows. A record
-    held several times at one place counts by its greatest digest.
+    SHA-256, where the store was hashed in place); other columns are not read.
+    Returns page_id, file_no, rec_offset, rec_length, status (altered, missing
+    or extra), digest_a, digest_b. Offsets are each store's own: where a
+    replica lost a record, or holds one of another length, the records after
+    it have moved there, which is no fault. Place and length are the
+    original's; of extra records the replica's.
+
+    Records are held against those of their id. An id may have several, equal
+    ones too: those that both have are equal, of the others the first of one
+    are the altered ones of the other, and the rest is missing or extra. Null
+    ids are an id of each file. Equal replicas, and empty ones, give no rows.
+    Records of any length count as one SHA-256 each.
     """
-    key = ["file_no", "rec_offset", "rec_length"]
-    manifest = materialize(records.select("page_id", *key).unionByName(replica.select("page_id", *key)).groupBy(*key).agg(F.min("page_id").alias("page_id")), "merkle-manifest")
-    trees = build({"a": leaves(records), "b": leaves(replica)}, manifest)
-    bad = differing(trees, "a", "b").withColumn("rec_length", F.col("last") - F.col("first")).withColumnRenamed("first", "rec_offset")
+    a, b = hashed(records), hashed(replica)
+    bad = differing(build({"a": a, "b": b}), "a", "b")
+    x, y = leftover(bad, a, b, "a"), leftover(bad, b, a, "b")
+    same = (F.col("file_no_a") == F.col("file_no_b")) & F.col("page_id_a").eqNullSafe(F.col("page_id_b")) & (F.col("id_rank_a") == F.col("id_rank_b"))
+    both = x.join(y, same, "full_outer")
+    here = F.col("digest_a").isNotNull()
     status = F.when(F.col("digest_b").isNull(), "missing").when(F.col("digest_a").isNull(), "extra").otherwise("altered")
-    return bad.join(manifest, key, "left").select("page_id", *key, status.alias("status"), "digest_a", "digest_b")
+    of = [F.when(here, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(c) for c in ("page_id", "file_no", "rec_offset", "rec_length")]
+    return both.select(*of, status.alias("status"), "digest_a", "digest_b")

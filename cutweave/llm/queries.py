@@ -46,12 +46,14 @@ def bit_rot(records: DataFrame) -> DataFrame:
 
 
 def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both stores are hashed where they are read, so only digests are shuffled."""
+    """Both stores are hashed where they are read, so only digests are
+    shuffled; the replica was packed by itself, after its loss."""
     records = merkle.stored(table(spark, sf_dir, "pages"))
     hashed = records.select("page_id", "file_no", F.octet_length("record").cast("bigint").alias("rec_length"), F.sha2("record", 256).alias("digest"), F.sha2(rotten(F.col("record")), 256).alias("copy_digest"))
-    both = materialize(merkle.placed(hashed), "merkle-placed")
-    copy = both.filter(not_lost()).drop("digest").withColumnRenamed("copy_digest", "digest")
-    return merkle.audit(both.drop("copy_digest"), copy)
+    hashed = materialize(hashed, "merkle-hashed")
+    copy = hashed.filter(not_lost()).drop("digest").withColumnRenamed("copy_digest", "digest")
+    own, copy = (materialize(merkle.placed(x), "merkle-placed") for x in (hashed.drop("copy_digest"), copy))
+    return merkle.audit(own, copy)
 
 
 OP2_SQL = r"""

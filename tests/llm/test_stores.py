@@ -29,6 +29,26 @@ def test_audit_finds_just_what_was_changed(spark):
     assert merkle.audit(records.limit(0), records.limit(0)).count() == 0
 
 
+def test_a_replica_packed_by_itself_shifts_no_record(spark):
+    base = pages(spark).filter("page_id is not null")
+    records = merkle.pack(base)
+    lost = merkle.audit(records, merkle.pack(base.filter("page_id <> 700"))).collect()
+    assert [(r["page_id"], r["status"]) for r in lost] == [(700, "missing")]
+    longer = base.selectExpr("page_id", "url", "CASE WHEN page_id = 700 THEN repeat('y', 500000) ELSE html END AS html", "1 AS digest")
+    got = merkle.audit(records, merkle.pack(longer)).collect()
+    assert [(r["page_id"], r["status"]) for r in got] == [(700, "altered")] and got[0]["rec_offset"] == lost[0]["rec_offset"]
+
+
+def test_audit_of_repeated_and_null_ids(spark):
+    rows = [(5, "u", "a"), (5, "u", "a"), (5, "u", "b"), (None, None, "n"), (None, None, "n"), (None, None, "m"), (8, "v", "")]
+    schema = "page_id bigint, url string, html string"
+    make = lambda x: merkle.pack(spark.createDataFrame(x, schema)).withColumn("status", merkle.F.lit(1))
+    audit = lambda x: sorted((str(r["page_id"]), r["status"]) for r in merkle.audit(make(rows), make(x)).collect())
+    assert audit(rows[::-1]) == []
+    assert audit(rows[1:]) == [("5", "missing")] and audit([*rows, rows[3]]) == [("None", "extra")]
+    assert audit([(5, "u", "c"), *rows[1:]]) == [("5", "altered")] and audit([*rows[:3], *rows[4:]]) == [("None", "missing")]
+
+
 def test_offsets_are_gapless(spark):
     for (_,), own in merkle.pack(pages(spark)).toPandas().groupby(["file_no"]):
         own = own.sort_values("rec_offset")
