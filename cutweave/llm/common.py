@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +15,42 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """Folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary
-    folder is made and remembered as the context's checkpoint folder.
+    Only where that setting is absent and all runs in one process (a master
+    of ``local``) a temporary folder is made and remembered as the context's
+    checkpoint folder; on a cluster its absence is an error.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="cutweave-"))
         root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What :func:`materialize` stores within is deleted at the end: for
+    callers that write their result before that."""
+    paths: list[str] = []
+    token = _made.set(paths)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for path in paths:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -32,16 +60,15 @@ def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/cutweave/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=codec)
+    if (paths := _made.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`materialize`."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for name in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        delete(df.sparkSession, name.rsplit("/", 1)[0])
 
 
 #: Keys held by more than one in HOT of all rows are hot, if by more than HOT rows.
@@ -57,11 +84,13 @@ def join_hot(rows: DataFrame, lookup: DataFrame, key: str | list[str], n: str, s
     columns ``spread`` to as many salts as it has shares of 1 / HOT, and its
     lookup row stands once for each salt. At most HOT keys are hot, and at
     most 2 * HOT lookup rows are added, whatever the data; only the hot keys
-    are broadcast. Null keys meet nothing.
+    are broadcast. Without a hot key it is a plain join. Null keys meet nothing.
     """
     keys = [key] if isinstance(key, str) else key
-    total = lookup.agg(F.sum(n)).first()[0] or 0
-    share = max(HOT, total // HOT)
+    total, most = lookup.agg(F.sum(n), F.max(n)).first()
+    share = max(HOT, (total or 0) // HOT)
+    if (most or 0) <= share:
+        return rows.join(lookup.drop(n), keys)
     salt, salts = fresh(rows.join(lookup.limit(0), keys, "left"), "__salt", "__salts")
     hot = F.broadcast(lookup.filter(F.col(n) > share).select(*keys, F.ceil(F.col(n) / F.lit(share)).cast("int").alias(salts)))
     count = F.coalesce(F.col(salts), F.lit(1))

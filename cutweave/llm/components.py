@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutweave.llm.common import materialize, release
+from cutweave.llm.common import join_hot, materialize, release
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,8 +15,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternates the large-star and small-star steps: each node hangs its
     neighbours on the smallest one it knows, so paths shrink by half or more
     a round. A round is two aggregations and two joins of rows no more than
-    the edges; nothing is gathered by node, and nothing reaches the driver
-    but a count and a checksum.
+    the edges; a hub's edges are salted over tasks, and nothing reaches the
+    driver but counts and a checksum. Repeated edges and loops add nothing;
+    without edges there are no rows.
     """
 
     def tidy(e: DataFrame) -> DataFrame:
@@ -29,14 +30,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     seen = mark(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        count = F.count(F.lit(1)).alias("n")
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m"), count).select("a", F.least("a", "m").alias("m"), "n"), "cc")
+        large = join_hot(both.filter("b > a"), least, "a", "n", ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialize(tidy(large), "cc")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = materialize(tidy(hung.unionByName(least.select("a", F.col("m").alias("b")))), "cc")
-        release(now)
-        release(large)
+        own = materialize(large.groupBy("a").agg(F.min("b").alias("m"), count), "cc")
+        hung = join_hot(large, own, "a", "n", ["b"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = materialize(tidy(hung.unionByName(own.select("a", F.col("m").alias("b")))), "cc")
+        for old in (now, least, large, own):
+            release(old)
         now, before = small, seen
         seen = mark(now)
         if seen == before:

@@ -10,13 +10,17 @@ expectation with relative error falling as 1/sqrt(documents).
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cutweave.llm.common import fresh
 
-#: The distribution is tabled until its tail is below what a double shows.
-TAIL = "cast(ceil(rate + 12 * sqrt(rate) + 24) as int)"
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0) -> DataFrame:
@@ -40,18 +44,25 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, epoch
     return n.crossJoin(F.broadcast(total)).select("source", "n_docs", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
-def poisson_cdf() -> Column:
-    """P(X <= k) for k = 0, 1, ... as an array, from the column rate, summed
-    in log space so that a large rate does not underflow."""
-    start = F.struct((-F.col("rate")).alias("logp"), F.exp(-F.col("rate")).alias("p"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
+def poisson_table(rate: float) -> np.ndarray:
+    """P(X <= k) for k = 0, 1, ... until the tail is below what a double
+    shows; from logarithms, so that a large rate does not underflow."""
+    if not rate > 0:
+        return np.ones(1)
+    k = np.arange(1, math.ceil(rate + 12 * math.sqrt(rate) + 24) + 1)
+    return np.cumsum(np.exp(-rate + np.concatenate([[0.0], np.cumsum(math.log(rate) - np.log(k))])))
+
+
+def with_tables(rates: DataFrame, rate: str, cdf: str) -> DataFrame:
+    """Adds the table of each row's rate, once a source; its length is about
+    that of a document's copies."""
+    schema = T.StructType([*rates.schema.fields, T.StructField(cdf, T.ArrayType(T.DoubleType()))])
 
-    def step(a: Column, k: Column) -> Column:
-        logp = a["logp"] + F.log(F.col("rate")) - F.log(k.cast("double"))
-        p = a["p"] + F.exp(logp)
-        return F.struct(logp.alias("logp"), p.alias("p"), F.concat(a["cdf"], F.array(p)).alias("cdf"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(**{cdf: [poisson_table(x) for x in b[rate]]})
 
-    table = F.aggregate(F.sequence(F.lit(1), F.expr(TAIL)), start, step, lambda a: a["cdf"])
-    return F.when(F.col("rate") > 0, table).otherwise(F.array(F.lit(1.0)))
+    return rates.mapInPandas(run, schema)
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -69,15 +80,18 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, epochs:
     of the corpus is split by Spark's skew handling, as the rates' side is
     small. A null id draws as an empty one; repeated rows draw alike, each
     giving its own copies. An empty table gives an empty mixture. Names that
-    clash with the new ones get the new ones underscored.
+    clash with the new ones get the new ones underscored. Texts are carried,
+    never read: their length makes no difference. Ties cannot arise, as equal
+    rows draw alike; they are spread over partitions by where they come from.
     """
     rate, replica, key = fresh(docs, "source_rate", "replica", "mix_key")
-    src, cdf, u = fresh(docs, "__mix_source", "__mix_cdf", "__mix_u")
+    src, cdf, u, salt = fresh(docs, "__mix_source", "__mix_cdf", "__mix_u", "__mix_salt")
     rates = source_rates(docs.select("source"), weights, epochs)
-    rates = rates.select(F.col("source").alias(src), F.col("rate").alias(rate), poisson_cdf().alias(cdf))
-    drawn = docs.withColumn(u, uniform(F.col(id_col), seed)).join(rates, F.col("source").eqNullSafe(F.col(src)))
+    rates = with_tables(rates.select(F.col("source").alias(src), F.col("rate").alias(rate)), rate, cdf)
+    drawn = docs.withColumn(u, uniform(F.col(id_col), seed)).withColumn(salt, F.when(F.col(id_col).isNull(), F.spark_partition_id()).otherwise(0)).join(rates, F.col("source").eqNullSafe(F.col(src)))
     n = F.size(F.filter(F.col(cdf), lambda c: c <= F.col(u)))
     drawn = drawn.withColumn(replica, n).drop(cdf, u, src).filter(F.col(replica) > 0)
     copies = drawn.withColumn(replica, F.explode(F.sequence(F.lit(0), F.col(replica) - 1)))
-    text = F.concat_ws(":", F.lit(f"{seed}-shuffle"), F.col(id_col).cast("string"), F.col(replica).cast("string"))
-    return copies.withColumn(key, F.md5(text)).repartition(key).sortWithinPartitions(key)
+    text = F.concat_ws(":", F.lit(f"{seed}-shuffle"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(replica).cast("string"))
+    # null ids share their keys, however many they are
+    return copies.withColumn(key, F.md5(text)).repartition(key, salt).sortWithinPartitions(key).drop(salt)

@@ -118,11 +118,11 @@ r AS (SELECT source, (SELECT sum(n_docs) FROM n)::DOUBLE * w / (SELECT sum(w) FR
 k AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 24)::BIGINT + 1)) AS k FROM r),
 p AS (SELECT source, rate, k, exp(-rate + k * ln(rate) - coalesce(lgamma(k + 1), 0)) AS p FROM k),
 c AS (SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p),
-u AS (SELECT doc_id, source, ('0x' || substring(md5('42:' || doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u FROM documents),
+u AS (SELECT doc_id, source, ('0x' || substring(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u FROM documents),
 d AS (SELECT u.doc_id, u.source, c.rate, count(*) FILTER (WHERE c.cdf <= u.u) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source GROUP BY ALL),
 e AS (SELECT doc_id, source, rate, unnest(range(0, n)) AS replica FROM d)
 SELECT doc_id, source, round(rate, 9) AS source_rate, replica::INTEGER AS replica,
-  md5('42-shuffle:' || doc_id::VARCHAR || ':' || replica::VARCHAR) AS mix_key FROM e
+  md5('42-shuffle:' || coalesce(doc_id::VARCHAR, '') || ':' || replica::VARCHAR) AS mix_key FROM e
 """
 
 # --- 8: nearest neighbours --------------------------------------------------

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutweave.llm.common import materialize
+from cutweave.llm.common import join_hot, materialize
 
 #: Leading bits of a group's size that tell its class.
 SIZE_BITS = 11
@@ -81,7 +81,9 @@ def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     group and share a shard; null texts form one group too (crc32 0). Slots
     number each shard's rows from 0 without gaps. Repeated rows each get a
     slot. The law is ``bytes``: loads are as near equal as the largest group
-    lets them be. An empty table gives no rows. Only doc_id and text are read.
+    lets them be. Groups of equal size are told apart by their hashes, which
+    decides ties; a text of any length is one group. An empty table gives no
+    rows. Only doc_id and text are read, so other columns cannot clash.
     """
     text = F.col("text")
     rows = docs.select(
@@ -104,8 +106,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     ranked = _numbered(groups, ["cls"], F.col("g1"), [F.desc("bytes"), "g1", "g2"], "rank", max(1, n_groups // RANK_ROWS))
     placed = ranked.join(F.broadcast(quota), "cls")  # under 60,000 rows by SIZE_BITS
     shard = F.size(F.filter("ends", lambda e: e <= F.col("rank")))
-    placed = placed.select("g1", "g2", shard.cast("int").alias("shard"))
-    put = materialize(rows.join(placed, ["g1", "g2"]), "shard-put")
+    placed = materialize(placed.select("g1", "g2", shard.cast("int").alias("shard"), "n_rows"), "shard-groups-put")
+    put = materialize(join_hot(rows, placed, ["g1", "g2"], "n_rows", ["doc_id"]), "shard-put")
     order = ["doc_id", "text_crc32", "size", "g1", "g2"]
     out = _numbered(put, ["shard"], F.xxhash64("doc_id", "g1"), order, "slot", max(1, n_rows // RANK_ROWS))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cutweave.llm.common import fresh, materialize
+from cutweave.llm.common import fresh, join_hot, materialize, release
 from cutweave.llm.components import connected_components
 
 SHINGLE = 4
@@ -33,6 +33,8 @@ LEAF = 16384
 BUCKET = 128
 #: Fingerprints that the upper tree is built on, at most about.
 SAMPLE = 16384
+#: Residents that a task holds of a leaf, on average; a larger leaf is dealt in parts.
+RESIDENTS = 1 << 20
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -187,17 +189,21 @@ class Leaf:
         return self.x[child], self.x[top[child]]
 
 
-def link_forest(fps: DataFrame, radius: int = RADIUS, leaf_size: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+def link_forest(fps: DataFrame, radius: int = RADIUS, leaf_size: int = LEAF, sample: int = SAMPLE, residents: int = RESIDENTS) -> DataFrame:
     """Edges (a, b) that connect just the fingerprints that links connect.
 
     ``fps``: one column fp (bigint), distinct, stored. The upper tree's
-    sample: fingerprints whose hash is 0 modulo count / ``sample``.
+    sample: fingerprints whose hash is 0 modulo count / ``sample``. It has as
+    many leaves as the sample allows; where these would hold more than
+    ``residents`` fingerprints, each is dealt by hash in parts of that many. A
+    part's residents visit the parts before it, and visitors visit all, so
+    every pair still meets once and a task's memory stays bounded.
     """
     n = fps.count()
     keep = F.pmod(F.xxhash64("fp"), F.lit(max(1, n // sample))) == 0
     picked = np.array([r["fp"] for r in fps.filter(keep).collect()], dtype=np.int64).view(np.uint64)
     picked.sort()
-    counter = [0]
+    counter: list[int] = [0]
     tree = grow(picked, np.arange(len(picked)), max(2, int(leaf_size * len(picked) / max(n, 1))), counter)
 
     def strip(node: Node) -> None:
@@ -207,6 +213,7 @@ def link_forest(fps: DataFrame, radius: int = RADIUS, leaf_size: int = LEAF, sam
                 strip(child)
 
     strip(tree)
+    n_parts = max(1, -(-n // (counter[0] * residents)))
     sent = fps.sparkSession.sparkContext.broadcast(tree)  # at most SAMPLE nodes
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,11 +228,15 @@ def link_forest(fps: DataFrame, radius: int = RADIUS, leaf_size: int = LEAF, sam
             x = b["fp"].to_numpy().astype(np.int64).view(np.uint64)
             out: list = []
             route(sent.value, x, np.arange(len(x)), np.zeros(0, dtype=np.int64), radius, out)
+            mixed = x * np.uint64(0x9E3779B97F4A7C15)
+            part = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(n_parts)).astype(np.int64)
             for leaf, home, guest in out:
-                for role, own in ((0, home), (1, guest)):
-                    if len(own):
-                        held.setdefault((leaf, role), []).append(x[own])
-                        size += len(own)
+                for k in range(n_parts):
+                    of = part[home]
+                    for role, own in ((0, home[of == k]), (1, np.concatenate([home[of > k], guest]))):
+                        if len(own):
+                            held.setdefault((leaf * n_parts + k, role), []).append(x[own])
+                            size += len(own)
             if size > 1 << 21:
                 yield flush()
                 held, size = {}, 0
@@ -261,39 +272,50 @@ def link_forest(fps: DataFrame, radius: int = RADIUS, leaf_size: int = LEAF, sam
     return dealt.repartition("leaf").sortWithinPartitions("leaf", "guest").mapInPandas(meet, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text: str = "text", leaf_size: int = LEAF, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, fp, component_id, is_kept for every row.
-
-    component_id: the smallest id reachable over links; null ids count only
-    where a component has no other. Texts without words, null ones too, have
-    fingerprint 0 and link like any other. Repeated rows stay as they are.
-    ``is_kept`` holds for the fingerprint and id that stand for a component:
-    the smallest id, then the smallest fingerprint.
-    """
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(F.col(text)).alias("fp")), "simhash")
+def with_components(rows: DataFrame, radius: int = RADIUS, leaf_size: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, fp, component_id, is_kept of stored ``rows`` (doc_id, fp): see
+    :func:`near_duplicates`."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("best")
-    fps = materialize(rows.groupBy("fp").agg(best), "simhash-fps")
+    fps = materialize(rows.groupBy("fp").agg(best, F.count(F.lit(1)).alias("n")), "simhash-fps")
     edges = materialize(link_forest(fps.select("fp"), radius, leaf_size, sample), "simhash-links")
     comps = materialize(connected_components(edges), "simhash-components")
+    release(edges)
     rooted = fps.join(comps.withColumnRenamed("node", "fp"), "fp")
     heads = rooted.groupBy("root").agg(F.min("best").alias("head"))
     linked = rooted.join(heads, "root").select("fp", "head")
-    whole = fps.join(linked, "fp", "left").select("fp", F.coalesce("head", "best").alias("head"))
-    out = rows.join(whole, "fp")
+    whole = fps.join(linked, "fp", "left").select("fp", F.coalesce("head", "best").alias("head"), "n")
+    out = join_hot(rows, materialize(whole, "simhash-heads"), "fp", "n", ["doc_id"])  # rows that share a fingerprint may be very many
     kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("fp") == F.col("head.fp"))
     return out.select("doc_id", "fp", F.col("head.doc_id").alias("component_id"), kept.alias("is_kept"))
 
 
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text: str = "text", leaf_size: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, fp, component_id, is_kept for every row.
+
+    component_id: the smallest id reachable over links; null ids count only
+    where a component has no other. Texts without words, null ones too, have
+    fingerprint 0 and link like any other. Repeated rows stay as they are; a
+    text of any length is read whole, its shingles 65,536 at a time. An empty
+    table gives no rows. Only the id and the text are read, so other columns
+    cannot clash. ``is_kept`` holds for the fingerprint and id that stand for
+    a component: the smallest id, then the smallest fingerprint.
+    """
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(F.col(text)).alias("fp")), "simhash")
+    return with_components(rows, radius, leaf_size, sample)
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component, all columns kept.
 
     The row kept has the component's smallest id; of repeated rows with that
-    id and fingerprint one stays. Whole rows are shuffled once, by id.
+    id and fingerprint one stays, of texts that differ but have both the one
+    of least hash. Null and empty texts are one component. Rows are stored
+    once with their fingerprint and shuffled once, by id.
     """
-    heads = near_duplicates(docs, radius).filter("is_kept").select("doc_id", "fp").distinct()
     fp, hid, hfp, rank = fresh(docs, "__sim_fp", "__sim_id", "__sim_head", "__sim_rank")
-    heads = materialize(heads.select(F.col("doc_id").alias(hid), F.col("fp").alias(hfp)), "simhash-heads")
-    marked = docs.withColumn(fp, fingerprint_udf(F.col("text")))
+    marked = materialize(docs.withColumn(fp, fingerprint_udf(F.col("text"))), "simhash-rows")
+    heads = with_components(marked.select("doc_id", F.col(fp).alias("fp")), radius).filter("is_kept").select("doc_id", "fp").distinct()
+    heads = materialize(heads.select(F.col("doc_id").alias(hid), F.col("fp").alias(hfp)), "simhash-kept")
     found = marked.join(heads, F.col("doc_id").eqNullSafe(F.col(hid)) & (F.col(fp) == F.col(hfp)))
     one = Window.partitionBy("doc_id", fp).orderBy(F.xxhash64("text"))
     return found.withColumn(rank, F.row_number().over(one)).filter(F.col(rank) == 1).select(*[found[c] for c in docs.columns])
