@@ -14,6 +14,7 @@ that a third of the rows hold does not crowd out others.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cutweave.llm.common import materialize
+from cutweave.llm.common import join_hot, materialize, shared_root
 
 BOOKS, WORDS, BEAM = 8, 256, 4
 #: Vectors that the codebooks are fitted on, at most about.
@@ -139,18 +140,19 @@ class Best:
     def __init__(self, n: int, k: int):
         self.k = k
         self.score = np.full((n, k), -np.inf)
-        self.entry = np.full((n, k), -1, dtype=np.int64)
+        self.entry = np.zeros((n, k, 2), dtype=np.int64)  # the hashes that name it
         self.least = np.full((n, k), np.iinfo(np.int64).max)
 
     def add(self, lo: int, score: np.ndarray, entry: np.ndarray, least: np.ndarray) -> None:
-        """Rows of candidates, each with its smallest id, for the queries from
-        ``lo`` on."""
+        """Rows of candidates, each with its name and smallest id, for the
+        queries from ``lo`` on."""
         hi = lo + len(score)
         s = np.concatenate([self.score[lo:hi], score], axis=1)
         e = np.concatenate([self.entry[lo:hi], entry], axis=1)
         i = np.concatenate([self.least[lo:hi], least], axis=1)
         top = np.lexsort((i, -s), axis=1)[:, : self.k]
-        self.score[lo:hi], self.entry[lo:hi], self.least[lo:hi] = (np.take_along_axis(x, top, 1) for x in (s, e, i))
+        self.score[lo:hi], self.least[lo:hi] = (np.take_along_axis(x, top, 1) for x in (s, i))
+        self.entry[lo:hi] = np.take_along_axis(e, top[:, :, None], 1)
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -158,9 +160,11 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("qd,qcd->qc", q, x)
 
 
-def search_batch(books: Codebooks, q: np.ndarray, x: np.ndarray, codes: np.ndarray, error: np.ndarray, least: np.ndarray, first: int, best: Best, candidates: int = CANDIDATES) -> None:
-    """Scores a batch of entries, numbered from ``first`` and with ``least``
-    as their smallest ids, for all queries."""
+def search_batch(books: Codebooks, q: np.ndarray, x: np.ndarray, codes: np.ndarray, error: np.ndarray, least: np.ndarray, names: np.ndarray, best: Best, candidates: int = CANDIDATES) -> int:
+    """Scores a batch of entries, named ``names`` (rows h1, h2) and with
+    ``least`` as their smallest ids, for all queries. Returns how many scores
+    beyond the first candidates' were exact ones, as the bound left them open."""
+    n_open = 0
     reach = np.sqrt((q**2).sum(1))
     for lo in range(0, len(q), 128):
         part = q[lo : lo + 128]
@@ -170,7 +174,7 @@ def search_batch(books: Codebooks, q: np.ndarray, x: np.ndarray, codes: np.ndarr
             rough += table[:, m][:, codes[:, m]]
         c = min(candidates, len(x))
         top = np.argpartition(-rough, c - 1, axis=1)[:, :c] if c < len(x) else np.tile(np.arange(c), (len(part), 1))
-        best.add(lo, exact_scores(part, x[top]), first + top, least[top])
+        best.add(lo, exact_scores(part, x[top]), names[top], least[top])
         if c == len(x):
             continue
         # the bound, with room for rounding: what could still beat the k-th best
@@ -179,7 +183,9 @@ def search_batch(books: Codebooks, q: np.ndarray, x: np.ndarray, codes: np.ndarr
         np.put_along_axis(rough, top, -np.inf, 1)
         for i in np.flatnonzero((rough >= need[:, None]).any(axis=1)).tolist():
             more = np.flatnonzero(rough[i] >= need[i])
-            best.add(lo + i, exact_scores(part[i : i + 1], x[more][None]), (first + more)[None], least[more][None])
+            best.add(lo + i, exact_scores(part[i : i + 1], x[more][None]), names[more][None], least[more][None])
+            n_open += len(more)
+    return n_open
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
@@ -193,15 +199,15 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     rows = materialize(usable(vectors), "aq-rows")
     index, books = build_index(rows, k)
     spark = vectors.sparkSession
-    schema = "h1 bigint, h2 bigint, score double, ids array<bigint>"
     if books is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     asked = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "h1", "h2")
     queries = materialize(index.join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", "v"), "aq-queries")
     n_blocks = -(-queries.count() // BLOCK)
     sent_books = spark.sparkContext.broadcast(books)
-    found = None
-    for block in range(n_blocks):
+    schema, path = "h1 bigint, h2 bigint, score double, e1 bigint, e2 bigint, least bigint", f"{shared_root(spark)}/cutweave/aq-found-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(path)
+    for block in range(n_blocks):  # each pass is stored: the driver holds one block, and the plan none
         own = queries.filter(F.pmod(F.xxhash64("h2"), F.lit(n_blocks)) == block).orderBy("h1", "h2").collect()
         if not own:
             continue
@@ -209,26 +215,30 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             keys, q = sent.value
-            best, ids = Best(len(q), k + 1), []
+            best = Best(len(q), k + 1)
             for b in batches:
                 x = np.array(b["v"].tolist(), dtype=np.float64)
                 codes = np.frombuffer(b"".join(b["codes"]), dtype=np.uint8).reshape(len(b), -1)
-                search_batch(sent_books.value, q, x, codes, b["error"].to_numpy(), np.array([i[0] for i in b["ids"]], dtype=np.int64), len(ids), best)
-                ids.extend(b["ids"].tolist())
+                search_batch(sent_books.value, q, x, codes, b["error"].to_numpy(), b["least"].to_numpy(), b[["h1", "h2"]].to_numpy(), best)
             for lo in range(0, len(q), 1024):
-                score, entry = best.score[lo : lo + 1024], best.entry[lo : lo + 1024]
-                i, j = np.nonzero(entry >= 0)
-                yield pd.DataFrame({"h1": keys[lo + i, 0], "h2": keys[lo + i, 1], "score": score[i, j], "ids": [ids[e] for e in entry[i, j].tolist()]})
-
-        part = index.select("ids", "v", "codes", "error").mapInPandas(run, schema)
-        found = part if found is None else found.unionByName(part)
-    near = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), F.element_at("ids", 1))
-    entries = found.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k + 1)
-    member = entries.select("h1", "h2", "score", F.explode("ids").alias("vec_id"))
+                score, entry, least = best.score[lo : lo + 1024], best.entry[lo : lo + 1024], best.least[lo : lo + 1024]
+                i, j = np.nonzero(score > -np.inf)
+                yield pd.DataFrame({"h1": keys[lo + i, 0], "h2": keys[lo + i, 1], "score": score[i, j], "e1": entry[i, j, 0], "e2": entry[i, j, 1], "least": least[i, j]})
+
+        index.select("h1", "h2", F.col("ids")[0].alias("least"), "v", "codes", "error").mapInPandas(run, schema).write.mode("append").parquet(path)
+        sent.destroy()
+    near = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "least")
+    found = spark.read.schema(schema).parquet(path).withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k + 1).drop("r", "least")
+    found = materialize(found, "aq-best")
+    met = found.groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("n"))
+    ids = materialize(index.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), "ids").join(met, ["e1", "e2"]), "aq-ids")
+    member = join_hot(found, ids, ["e1", "e2"], "n", ["h1", "h2"]).select("h1", "h2", "score", F.explode("ids").alias("vec_id"))  # some vectors are near to very many
     near = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id")
     member = member.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k + 1).drop("r")
     lists = member.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("near"))
-    own = asked.select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct().join(lists, ["h1", "h2"])
+    own = asked.select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct()
+    lists = materialize(lists.join(own.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")), ["h1", "h2"]), "aq-lists")
+    own = join_hot(own, lists, ["h1", "h2"], "n", ["query_id"])  # queries of one vector may be very many
     own = own.withColumn("near", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k))
     out = own.select("query_id", F.posexplode("near").alias("pos", "x"))
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))

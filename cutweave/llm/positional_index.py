@@ -16,10 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutweave.llm.common import fresh, materialize
+from cutweave.llm.common import fresh, materialize, release
 
 #: Words of a window.
 WINDOW = 13
@@ -71,14 +70,12 @@ class Segment:
 def index_texts(texts: list[str | None], vocabulary: set[bytes] | None, gap: int) -> Segment:
     """Index texts, all terms or those of a vocabulary. ``gap``: positions
     left free after each document, more than any phrase is long."""
-    term_no: dict[bytes, int] = {} if vocabulary is None else {w: i for i, w in enumerate(sorted(vocabulary))}
+    term_no: dict[bytes, int] = defaultdict() if vocabulary is None else {w: i for i, w in enumerate(sorted(vocabulary))}
+    if vocabulary is None:
+        term_no.default_factory = term_no.__len__  # a new term gets the next number
     ids, base, n_words, at = [], [], [], 0
     for text in texts:
         words = words_of(text)
-        if vocabulary is None:
-            for w in words:
-                if w not in term_no:
-                    term_no[w] = len(term_no)
         ids.append(np.fromiter(map(term_no.get, words, [-1] * len(words)) if vocabulary is not None else map(term_no.__getitem__, words), dtype=np.int32, count=len(words)))
         base.append(at)
         n_words.append(len(words))
@@ -91,6 +88,7 @@ def index_texts(texts: list[str | None], vocabulary: set[bytes] | None, gap: int
     else:
         flat, where = np.zeros(0, np.int32), np.zeros(0, np.int64)
     order = np.argsort(flat, kind="stable")
+    term_no = dict(term_no)
     starts = np.zeros(len(term_no) + 1, dtype=np.int64)
     np.cumsum(np.bincount(flat, minlength=len(term_no)), out=starts[1:])
     return Segment(term_no, starts, where[order], np.array(base, dtype=np.int64), np.array(n_words, dtype=np.int64))
@@ -314,8 +312,7 @@ def _cut(texts: list[str | None], limit: int) -> Iterator[tuple[int, int]]:
 
 def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, size: int = WINDOW, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """The index of ``docs``: one row a segment, with doc_ids, n_words, terms,
-    list_lengths and lists. ``vocabulary`` keeps only those terms' lists; its
-    size is that of one block of test items."""
+    list_lengths and lists. ``vocabulary`` keeps only those terms' lists."""
     gap = size + 1
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -374,11 +371,12 @@ def search_near(index: DataFrame, blocks: Iterable[Phrases], slop: int, size: in
 
         return run
 
-    out = None
-    for block in blocks:  # each of bounded size: see BLOCK_BYTES
-        part = index.mapInPandas(one(sc.broadcast(block)), NEAR)
-        out = part if out is None else out.unionByName(part)
-    return index.sparkSession.createDataFrame([], NEAR) if out is None else out
+    out = index.sparkSession.createDataFrame([], NEAR)
+    for block in blocks:  # each of bounded size: see BLOCK_BYTES; stored, so that only one is held
+        sent = sc.broadcast(block)
+        out = out.unionByName(materialize(index.mapInPandas(one(sent), NEAR), "near"))
+        sent.destroy()
+    return out
 
 
 def search_index(index: DataFrame, blocks: Iterable[Phrases], size: int = WINDOW, slop: int | None = None) -> DataFrame:
@@ -386,7 +384,8 @@ def search_index(index: DataFrame, blocks: Iterable[Phrases], size: int = WINDOW
     With ``slop``, the proximity matches instead: see :func:`search_near`.
 
     Every block is a pass over the segments' rows that adds what it finds to
-    them; only one block is held by a task at a time, and nothing is joined.
+    them. All passes but the first read what the one before has stored; so
+    driver and tasks hold two blocks at most, and nothing is joined.
     """
     if slop is not None:
         return search_near(index, blocks, slop, size)
@@ -408,8 +407,16 @@ def search_index(index: DataFrame, blocks: Iterable[Phrases], size: int = WINDOW
         return run
 
     schema = rows.schema
+    sent = held = None
     for block in blocks:  # each of bounded size: see BLOCK_BYTES
-        rows = rows.mapInPandas(one(sc.broadcast(block)), schema)
+        if sent is not None:
+            stored = materialize(rows, "searched", "zstd")
+            sent.destroy()
+            if held is not None:
+                release(held)
+            rows = held = stored
+        sent = sc.broadcast(block)
+        rows = rows.mapInPandas(one(sent), schema)
 
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -458,25 +465,23 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     document is contaminated if hits are a twentieth of its words or more.
     Null and empty texts have no words and are clean; so is everything if no
     item has words. Repeated rows and items count as they stand; null ids
-    stay null. hit_spans: first and end of each run of hit words in turn.
+    stay null. A very long text is a segment of its own, read whole. Matches
+    are sets, so there are no ties; an empty table gives no rows. Only doc_id,
+    item_id and text are read, so other columns cannot clash. hit_spans:
+    first and end of each run of hit words in turn.
 
-    The index is stored in the shared folder: the lists of the items' terms
-    if one block holds all items, else those of all terms.
+    The index, of all terms, is stored in the shared folder.
     """
-    blocks = phrase_blocks(items, size)
-    first, second = next(blocks), next(blocks, None)
-    index = materialize(build_index(docs, first.vocabulary if second is None else None, size), "postings")
-    return search_index(index, chain([first], [second] if second else [], blocks), size)
+    index = materialize(build_index(docs, None, size), "postings", "zstd")
+    return search_index(index, phrase_blocks(items, size), size)
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int, size: int = WINDOW) -> DataFrame:
     """Proximity matches of the items' windows in the documents: columns of
     NEAR, by the same stored index as :func:`decontaminate`. Where an item's
     windows are in two blocks, both may find one span: it then stands twice."""
-    blocks = phrase_blocks(items, size)
-    first, second = next(blocks), next(blocks, None)
-    index = materialize(build_index(docs, first.vocabulary if second is None else None, size), "postings")
-    return search_index(index, chain([first], [second] if second else [], blocks), size, slop)
+    index = materialize(build_index(docs, None, size), "postings", "zstd")
+    return search_index(index, phrase_blocks(items, size), size, slop)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:

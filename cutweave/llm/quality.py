@@ -12,7 +12,6 @@ numbers per class, over every labelled training row; nothing is sampled.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,11 +35,12 @@ _SPACE = b" \t\n\r\x0b\x0c"
 _STOPS = b".,;:'\"-?()"
 _SIGNS = b"#$%&*+/<=>@[\\]^_`{|}~!"
 _HIGH = bytes(range(128, 256))
-_ODD_END = re.compile(rb"[#$%&*+/<=>@\\^_`|~!]{2,}(?=\s|$)")
+#: Kinds of bytes: letters a, digits 0, signs #, stops, blanks.
+_KIND = bytes(35 if c in _SIGNS else 48 if c in _DIGIT else 32 if c in _SPACE else 46 if c in _STOPS else 97 for c in range(256))
 
 FEATURES = (
-    "log_bytes", "log_words", "mean_word", "upper", "digits", "stops", "signs", "high", "bars",
-    "odd_ends", "same_as_before", "distinct", "top_word", "long_words", "short_words", "line_length", "same_lines", "longest_run",
+    "log_bytes", "log_words", "mean_word", "upper", "digits", "stops", "signs", "high", "lone_signs",
+    "sign_pairs", "same_as_before", "distinct", "top_word", "long_words", "short_words", "line_length", "same_lines", "longest_run",
 )
 
 
@@ -67,6 +67,7 @@ def statistics(text: str | None) -> list[float]:
             run = run + 1 if x == y else 1
             if run > longest:
                 longest = run
+    kinds = b.translate(_KIND)
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=k)
     lines = [x for x in b.split(b"\n") if x]
     return [
@@ -78,8 +79,8 @@ def statistics(text: str | None) -> list[float]:
         share(count(_STOPS), black),
         share(count(_SIGNS), black),
         share(count(_HIGH), black),
-        share(b.count(b" | ") * 2, k),
-        share(min(k, len(_ODD_END.findall(b))), k),
+        share(kinds.count(b" # "), k),
+        share(min(k, kinds.count(b"##")), k),
         share(same, k),
         float(np.log(len(tally)) / np.log(k)) if k > 1 else 1.0,
         share(max(tally.values()) - 1, k),
@@ -249,9 +250,17 @@ def with_statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score below ``threshold``; all columns kept."""
+    """``docs`` without the rows that score below ``threshold``; all columns kept.
+
+    Rows are stored once with their statistics. Null texts count as empty;
+    both score like other short texts, and very long ones are read whole.
+    Repeated rows score alike and stay or go together; equal scores need no
+    order, and one of just ``threshold`` stays. Rows without id are scored,
+    but not learned from. Without labels every row stays; an empty table gives
+    no rows. Clashing names are kept, as the new ones get underscores.
+    """
     x, score = fresh(docs, "quality_stats", "quality_score")
-    stats = materialize(docs.select("doc_id", statistics_udf(F.col("text")).alias("x")), "quality")
-    model = train(stats, labels)
-    scored = with_score(docs.withColumn(x, statistics_udf(F.col("text"))), model, x, score)
+    stored = materialize(docs.withColumn(x, statistics_udf(F.col("text"))), "quality", "zstd")
+    model = train(stored.select("doc_id", F.col(x).alias("x")), labels)
+    scored = with_score(stored, model, x, score)
     return scored.filter(F.col(score) >= threshold).drop(x, score)

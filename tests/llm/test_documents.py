@@ -135,9 +135,8 @@ def test_op6_equals_brute_force(spark, sf_dir):
 
 def test_op6_odd_rows(spark):
     docs = odd(spark)
-    short = [(i, t) for i, t in ODD if i != 7]
-    want = components_brute([(i, simhash_brute(t)) for i, t in short])
-    got = simhash.near_duplicates(docs.filter("doc_id <> 7 or doc_id is null")).withColumn("h", simhash.hex16(simhash.F.col("fp")))
+    want = components_brute([(i, simhash_brute(t)) for i, t in ODD])
+    got = simhash.near_duplicates(docs).withColumn("h", simhash.hex16(simhash.F.col("fp")))
     assert plain(got, "doc_id", "h", "component_id") == sorted(want, key=str)
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
@@ -153,8 +152,8 @@ def test_vantage_trees_find_every_link(spark):
     x = np.unique(np.concatenate([base, np.array(near, dtype=np.uint64)]))
     want = components_brute([(i, int(f)) for i, f in enumerate(x.tolist())])
     fps = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp bigint").repartition(5).cache()
-    for leaf, sample in ((60, 500), (10**6, 10**6)):
-        edges = [(int(np.int64(r["a"]).view(np.uint64)), int(np.int64(r["b"]).view(np.uint64))) for r in simhash.link_forest(fps, 4, leaf, sample).collect()]
+    for leaf, sample, residents in ((60, 500, 1 << 20), (10**6, 10**6, 1 << 20), (60, 10, 40)):  # in the last a leaf is dealt in parts
+        edges = [(int(np.int64(r["a"]).view(np.uint64)), int(np.int64(r["b"]).view(np.uint64))) for r in simhash.link_forest(fps, 4, leaf, sample, residents).collect()]
         parent = {int(f): int(f) for f in x}
 
         def find(f, parent=parent):
@@ -192,6 +191,40 @@ def test_op1_separates_held_out_rows(spark, sf_dir, sf, least):
     assert right >= least * total
 
 
+def test_op1_scores_equal_a_plain_discriminant(spark, sf_dir):
+    sf_dir = os.path.join(os.path.dirname(sf_dir), "sf0.01")  # the smallest is told apart without doubt
+    docs = {r["doc_id"]: quality.statistics(r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()]
+    own = [(docs[i], c) for i, c in labels if c in (0, 1) and i in docs and zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([s for s, _ in own]), np.array([c for _, c in own])
+    n, d = [int((y == c).sum()) for c in (0, 1)], x.shape[1]
+    cov = [np.cov(x[y == c].T, bias=True) for c in (0, 1)]
+    pooled = (n[0] * cov[0] + n[1] * cov[1]) / len(y)
+    side = []
+    for c in (0, 1):
+        pull = 0.1 + 0.88 * d / (d + n[c])
+        s = (0.98 - pull) * cov[c] + pull * pooled + 0.02 * np.diag(np.diag(pooled)) + 1e-6 * np.eye(d)
+        z = np.array(list(docs.values())) - x[y == c].mean(0)
+        side.append(np.log((n[c] + 1) / (len(y) + 2)) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(s), z))
+    gap = dict(zip(docs, side[1] - side[0], strict=True))
+    got = {r["doc_id"]: r["score"] for r in queries.op1_quality_qda(spark, sf_dir).collect()}
+    odds = {i: np.log(s / (1 - s)) for i, s in got.items() if 1e-12 < s < 1 - 1e-12}
+    a, b = np.polyfit([gap[i] for i in odds], list(odds.values()), 1)  # the scores are a line of the density differences
+    assert a > 0 and len(odds) > 10
+    for i, s in got.items():
+        assert abs(s - 1 / (1 + np.exp(-np.clip(a * gap[i] + b, -500, 500)))) < 1e-6
+
+
+def test_op1_query_on_odd_rows(spark, tmp_path):
+    odd(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1), (8, 0), (None, 1), (4, None), (77, 0)], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.op1_quality_qda(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] for r in got), key=str) == sorted((i for i, _ in ODD), key=str)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+
+
 def test_op1_odd_rows(spark):
     docs = odd(spark)
     labels = spark.createDataFrame([(1, 1), (2, 1), (8, 0), (6, 0), (7, 0), (None, 1), (4, None)], "doc_id bigint, quality int")

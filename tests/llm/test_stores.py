@@ -73,6 +73,9 @@ def test_mixture_with_null_and_repeated_rows(spark):
     docs = spark.createDataFrame([(None, "a", None), (1, "a", "x"), (1, "a", "x"), (2, None, "")], "doc_id bigint, source string, text string")
     got = Counter((r["doc_id"], r["source"]) for r in mixing.replicate(docs, epochs=50.0).collect())
     assert got[(1, "a")] % 2 == 0 and got[(2, None)] > 0 and got[(None, "a")] > 0
+    own = spark.createDataFrame([(None, "a", "x" * 3_000_000), (1, "a", "")], "doc_id bigint, source string, text string")
+    assert all(len(r["mix_key"]) == 32 for r in mixing.replicate(own, epochs=3.0).collect())  # a long text, and no null key
+    assert abs(mixing.poisson_table(31_600.0)[31_600] - 0.5) < 0.01 and mixing.poisson_table(0.0).tolist() == [1.0]
     large = mixing.replicate(docs, epochs=2000.0)  # exp(-rate) underflows
     assert abs(large.count() - 8000) < 1500
 
