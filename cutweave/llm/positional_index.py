@@ -31,7 +31,7 @@ from cutweave.llm.common import fresh, materialize, release
 #: Words of a window.
 WINDOW = 13
 #: Bytes of text after which a segment is closed; a longer document is a segment of its own.
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 #: Bytes of benchmark text that one pass searches; more are searched in further passes.
 BLOCK_BYTES = 2 << 20
 

@@ -192,7 +192,6 @@ def test_op1_separates_held_out_rows(spark, sf_dir, sf, least):
 
 
 def test_op1_scores_equal_a_plain_discriminant(spark, sf_dir):
-    sf_dir = os.path.join(os.path.dirname(sf_dir), "sf0.01")  # the smallest is told apart without doubt
     docs = {r["doc_id"]: quality.statistics(r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()]
     own = [(docs[i], c) for i, c in labels if c in (0, 1) and i in docs and zlib.crc32(str(i).encode()) % 5]
@@ -208,11 +207,11 @@ def test_op1_scores_equal_a_plain_discriminant(spark, sf_dir):
         side.append(np.log((n[c] + 1) / (len(y) + 2)) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(s), z))
     gap = dict(zip(docs, side[1] - side[0], strict=True))
     got = {r["doc_id"]: r["score"] for r in queries.op1_quality_qda(spark, sf_dir).collect()}
-    odds = {i: np.log(s / (1 - s)) for i, s in got.items() if 1e-12 < s < 1 - 1e-12}
-    a, b = np.polyfit([gap[i] for i in odds], list(odds.values()), 1)  # the scores are a line of the density differences
-    assert a > 0 and len(odds) > 10
+    stats = spark.createDataFrame([(i, v) for i, v in docs.items()], "doc_id bigint, x array<double>")
+    model = quality.train(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert model.slope > 0 and np.allclose(model.difference(np.array(list(docs.values()))), list(gap.values()), rtol=1e-6, atol=1e-6)
     for i, s in got.items():
-        assert abs(s - 1 / (1 + np.exp(-np.clip(a * gap[i] + b, -500, 500)))) < 1e-6
+        assert abs(s - 1 / (1 + np.exp(-np.clip(model.slope * gap[i] + model.offset, -500, 500)))) < 1e-6
 
 
 def test_op1_query_on_odd_rows(spark, tmp_path):
