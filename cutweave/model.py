@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,16 +52,52 @@ class Hierarchy:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where unset."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is
+    unset and all runs in one process. On a cluster its absence is an error."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="cutweave-"))
         root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What :func:`materialize` stores within is deleted at the end; the
+    caller keeps its result by storing it outside, or by a ``keep`` path."""
+    paths: list[str] = []
+    token = _made.set(paths)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for path in paths:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@dataclass
+class Stages:
+    """Wall-clock seconds of named stages; a stage must end in an action."""
+
+    seconds: dict[str, float] = field(default_factory=dict)
+
+    @contextmanager
+    def __call__(self, name: str) -> Iterator[None]:
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.seconds[name] = self.seconds.get(name, 0.0) + time.perf_counter() - began
+
+
+def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     """Store as Parquet in the shared folder and read back.
 
     Iterations cut their lineage this way and not with checkpoint(): the
@@ -67,4 +107,6 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/graph/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not keep and (paths := _made.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -160,3 +160,34 @@ def repeat_summary(runs: DataFrame) -> DataFrame:
     """(k, method) -> median, least and greatest of seconds and cut."""
     aggs = [f(c).alias(f"{c}_{name}") for c in ("seconds", "cut") for name, f in (("median", F.median), ("min", F.min), ("max", F.max))]
     return runs.groupBy("k", "method").agg(F.count(F.lit(1)).alias("runs"), *aggs)
+
+
+def imbalance(vertices: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
+    """One row: total and greatest load, and their imbalance: max * parts / total, 0 without weight."""
+    top = loads(vertices, labels, parts).agg(F.sum("load").alias("total"), F.max("load").alias("max_load"))
+    return top.withColumn("imbalance", F.when(F.col("total") == 0, 0.0).otherwise(F.col("max_load") * F.lit(float(parts)) / F.col("total")))
+
+
+def balance_report(summary: DataFrame, vertex_limit: float = 1.05, edge_limit: float = 1.05) -> DataFrame:
+    """(metric, avg, min, max, imbalance, deviation, allowed_max, within_ratio)
+    of vertices and edge sets, from :func:`analyze_summary`."""
+    rows = None
+    for x, limit in (("vertices", vertex_limit), ("edges", edge_limit)):
+        avg, least, most = (F.col(f"{x}_{k}").cast("double") for k in ("avg", "min", "max"))
+        off = F.when(avg == 0, 0.0).otherwise(F.greatest(F.abs(most - avg), F.abs(least - avg)) / avg)
+        ratio = F.col(f"{x}_imbalance").cast("double")
+        one = summary.select(F.lit(x).alias("metric"), avg.alias("avg"), least.alias("min"), most.alias("max"), ratio.alias("imbalance"), off.alias("deviation"), (avg * limit).alias("allowed_max"), (ratio <= limit).alias("within_ratio"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def report_text(report: DataFrame) -> str:
+    """The balance report as lines of key=value: two rows, one a metric."""
+    return "\n".join(" ".join(f"{k}={str(v).lower() if isinstance(v, bool) else f'{v:.6g}' if isinstance(v, float) else v}" for k, v in r.asDict().items()) for r in report.collect())
+
+
+def labels_digest(labels: DataFrame) -> str:
+    """A digest of a labelling that does not depend on the order of its rows."""
+    word = lambda k: F.sum(F.conv(F.substring("h", 1 + 16 * k, 16), 16, 10).cast("decimal(20,0)")).cast("string")
+    hashed = labels.select(F.sha2(F.concat_ws(":", "v", "part"), 256).alias("h"))
+    return hashed.agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *[word(k) for k in range(4)]), 256)).first()[0]

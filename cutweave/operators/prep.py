@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cutweave.model import materialize
+
 #: Ids that share a block in two-level running sums.
 BLOCK = 1 << 16
+#: Rows that one task may sort; the sums are whole numbers, so it makes no difference to them.
+FEW = 1 << 20
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
@@ -101,6 +107,26 @@ def running_sum(df: DataFrame, key: str, value: Column, out: str, exclusive: boo
     return df.withColumn(out, total - F.col("__v") if exclusive else total).drop("__v", "__block", "__in", "__base")
 
 
+def ordered_sum(df: DataFrame, by: list[str], order: list[Column], value: Column, out: str, exclusive: bool = False, most: int | None = None) -> DataFrame:
+    """Running sum of ``value`` within each value of ``by``, in an order that
+    has no ties. Rows are dealt by ranges of (by, order) and stored; a task
+    sorts one range, however few values ``by`` has, or none. Where the caller
+    knows that there are at ``most`` FEW rows, a plain window does."""
+    if most is not None and most <= FEW:
+        run = F.sum("__v").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        df = df.withColumn("__v", value).withColumn(out, run)
+        return (df.withColumn(out, F.col(out) - F.col("__v")) if exclusive else df).drop("__v")
+    dealt = df.withColumn("__v", value).repartitionByRange(*[F.col(c) for c in by], *order)
+    dealt = materialize(dealt.withColumn("__p", F.spark_partition_id()))
+    before = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = dealt.groupBy(*by, "__p").agg(F.sum("__v").alias("__s"))
+    sums = sums.select(*by, "__p", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__base"))
+    inner = Window.partitionBy(*by, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.col("__base") + F.col("__in")
+    run = dealt.withColumn("__in", F.sum("__v").over(inner)).join(sums, [*by, "__p"])
+    return run.withColumn(out, total - F.col("__v") if exclusive else total).drop("__v", "__p", "__in", "__base")
+
+
 def compact(clusters: DataFrame) -> DataFrame:
     """(v, c): surviving cluster ids numbered densely in ascending order."""
     ids = running_sum(clusters.select("c").distinct(), "c", F.lit(1).cast("bigint"), "id", exclusive=True)
@@ -156,7 +182,8 @@ def random_edges(spark: SparkSession, n: int, m: int, seed: int = 0, loops: bool
         pairs = spark.range(n * n).select(F.floor(F.col("id") / n).alias("src"), (F.col("id") % n).alias("dst"))
     pairs = (pairs if loops else pairs.filter("src <> dst")).distinct()
     key = F.xxhash64(F.lit(seed), "src", "dst")
-    return pairs.orderBy(key, "src", "dst").limit(m).withColumn("value", _random(seed, F.lit("v"), F.col("src"), F.col("dst")).cast("float")).orderBy("src", "dst")
+    ranked = ordered_sum(pairs.withColumn("key", key), [], [F.col("key"), F.col("src"), F.col("dst")], F.lit(1).cast("bigint"), "rank").filter(F.col("rank") <= m).select("src", "dst")
+    return ranked.withColumn("value", _random(seed, F.lit("v"), F.col("src"), F.col("dst")).cast("float")).orderBy("src", "dst")
 
 
 def synthetic(spark: SparkSession, kind: str, n: int = 16384, seed: int = 17) -> DataFrame:
@@ -180,3 +207,30 @@ def synthetic(spark: SparkSession, kind: str, n: int = 16384, seed: int = 17) ->
     else:
         raise ValueError(f"unknown kind {kind}")
     return symmetrize(out).withColumn("w", F.lit(1).cast("bigint"))
+
+
+def multigraph(spark: SparkSession, n: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """Edges and vertices of a symmetric graph with a self-loop, parallel
+    edges, small components, an isolated vertex (7) and pairs (u, u + 1) for
+    even u from 10."""
+    once = [(0, 1), (0, 1), (1, 2), (2, 3), (4, 5), (5, 6), (5, 6), (8, 9)]
+    head = spark.createDataFrame([(0, 0), *once, *((b, a) for a, b in once)], "src bigint, dst bigint")
+    pairs = spark.range(10, n - 1, 2).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    edges = head.unionByName(pairs).unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return edges.withColumn("w", F.lit(1).cast("bigint")), spark.range(n).select(F.col("id").alias("v"), F.lit(1).cast("bigint").alias("vw"))
+
+
+def record_bounds(edges: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(c, bound): most weight that any entry of a cluster's row can get, the
+    sum of its vertices' rows, held at 2^64 - 1."""
+    rows = edges.groupBy(F.col("src").alias("v")).agg(F.sum(F.col("w").cast("decimal(38,0)")).alias("bound"))
+    total = mapping.join(rows, "v", "left").groupBy("c").agg(F.coalesce(F.sum("bound"), F.lit(0)).alias("bound"))
+    return total.select("c", F.least(F.col("bound"), F.lit(Decimal(2**64 - 1)).cast("decimal(38,0)")).cast("decimal(20,0)").alias("bound"))
+
+
+def checked_total(df: DataFrame, column: str, limit: int = 2**64 - 1) -> int:
+    """Exact sum of a column; OverflowError beyond ``limit``."""
+    total = int(df.agg(F.coalesce(F.sum(F.col(column).cast("decimal(38,0)")), F.lit(0))).first()[0])
+    if total > limit:
+        raise OverflowError(f"the sum of {column} is beyond its type")
+    return total

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutweave.functions import scalars
-from cutweave.model import CoarsenOptions, Hierarchy, RefineOptions, RefineStats, materialize
+from cutweave.model import CoarsenOptions, Hierarchy, RefineOptions, RefineStats, Stages, materialize, scratch
 from cutweave.operators import coarsen as co
 from cutweave.operators import graph as gr
 from cutweave.operators import prep
@@ -17,7 +19,7 @@ from cutweave.operators import spectral as sp
 
 #: Rounds of clustering a level, and the share of vertices at which they stop.
 ROUNDS, ENOUGH = 4, 0.60
-#: Directed entries up to which the coarsest graph is split in one task.
+#: Vertices and directed entries together up to which the coarsest graph is split in one task.
 ONE_TASK = 4_000_000
 
 
@@ -39,9 +41,9 @@ def aggregate(edges: DataFrame, vertices: DataFrame, parts: int, seed: int, leve
     if count > ENOUGH * n:
         role, tie = scalars.salts(seed, level, ROUNDS)
         found = co.propose(gr.affinity(edges, clusters), clusters, role, 0, tie, filter_roles=False)
-        pairs = co.two_hop_pairs(co.singleton_favorites(found, vertices, clusters), cap)
+        pairs = co.two_hop_pairs(co.singleton_favorites(found, vertices, clusters), cap, n)
         budget = max(0, count - -(-n // 2))
-        clusters = materialize(co.move(clusters, co.merge_budget(pairs, clusters, budget)))
+        clusters = materialize(co.move(clusters, co.merge_budget(pairs, clusters, budget, n)))
     mapping = materialize(prep.compact(clusters))
     return mapping, mapping.select("c").distinct().count(), cap
 
@@ -50,8 +52,8 @@ def coarsen(edges: DataFrame, vertices: DataFrame, options: CoarsenOptions | Non
     """Levels until the graph is small, a level gains too little, or there
     are enough; the level that gains too little is left out."""
     o = options or CoarsenOptions()
-    if not scalars.MIN_PARTS <= o.parts <= scalars.MAX_PARTS or o.cluster_size_factor < 2 or not 0 < o.stop_contraction_ratio <= 1:
-        raise ValueError("parts, cluster size factor or stop ratio out of range")
+    if not scalars.MIN_PARTS <= o.parts <= scalars.MAX_PARTS or o.cluster_size_factor < 2 or not 0 < o.stop_contraction_ratio <= 1 or not 0 < o.max_levels <= 200:
+        raise ValueError("parts, cluster size factor, stop ratio or levels out of range")
     out = Hierarchy([(edges, vertices)], [], "max_levels")
     cutoff = scalars.coarsest_cutoff(o.cluster_size_factor, o.parts)
     for level in range(o.max_levels):
@@ -80,13 +82,15 @@ def check_level(edges: DataFrame, vertices: DataFrame, mapping: DataFrame, coars
 
 def initial_partition(edges: DataFrame, vertices: DataFrame, parts: int, ratio: float, seed: int = 0) -> DataFrame:
     """(v, part) by recursive spectral bisection. A graph of up to ONE_TASK
-    entries is split in one task; a larger one by joins and aggregations,
-    all groups of a depth at once."""
+    vertices and entries is split in one task, which needs some 100 bytes for
+    each; a larger one by joins and aggregations, all groups of a depth at
+    once. Its sums run in another order, so coordinates may differ in their
+    last bits there."""
     n, total = vertices.agg(F.count(F.lit(1)), F.sum("vw")).first()
     cap = scalars.partition_capacity(total or 0, parts, ratio)
     if n < parts or vertices.filter(F.col("vw") > cap).count():
         raise ValueError("a vertex is heavier than a part, or there are too few")
-    if edges.count() > ONE_TASK:
+    if n + edges.count() > ONE_TASK:
         return _initial_large(edges, vertices, parts, cap, seed)
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -139,10 +143,10 @@ def refine(edges: DataFrame, vertices: DataFrame, labels: DataFrame, options: Re
     """Moves by label propagation with a priority filter, each batch followed
     by rebalancing; the best state that was seen is kept."""
     o = options or RefineOptions()
-    if not 0 <= o.max_rounds <= 64 or not 1 <= o.stale_rounds <= 64:
-        raise ValueError("rounds or stale rounds out of range")
+    if not 0 <= o.max_rounds <= 64 or not 1 <= o.stale_rounds <= 64 or not o.refinement_growth_ratio >= 1:
+        raise ValueError("rounds, stale rounds or growth ratio out of range")
     gr.check_labels(vertices, labels, o.parts)
-    total = vertices.agg(F.sum("vw")).first()[0] or 0
+    n, total = vertices.agg(F.count(F.lit(1)), F.coalesce(F.sum("vw"), F.lit(0))).first()
     cap = scalars.partition_capacity(total, o.parts, o.imbalance_ratio)
     directed, heaviest = edges.agg(F.sum("w"), F.max("w")).first()
     if (directed or 0) > 2**62:
@@ -182,7 +186,7 @@ def refine(edges: DataFrame, vertices: DataFrame, labels: DataFrame, options: Re
             if max(loads) <= cap:
                 break
             stats.rebalance_iterations += 1
-            movers = materialize(rf.rebalance_step(aff, vertices, labels, loads, cap))
+            movers = materialize(rf.rebalance_step(aff, vertices, labels, loads, cap, n))
             if movers.isEmpty():
                 break
             stats.accepted += move(movers)
@@ -218,10 +222,35 @@ def uncoarsen(h: Hierarchy, labels: DataFrame, options: RefineOptions | None = N
 def partition(edges: DataFrame, vertices: DataFrame, parts: int = 4, ratio: float = 1.03, seed: int = 0, factor: int | None = None, max_rounds: int = 32, verify: bool = False) -> tuple[DataFrame, list[RefineStats]]:
     """(v, part) and the refinements' statistics. The graph must be symmetric,
     with ids dense from 0 and positive weights."""
-    edges, vertices = materialize(edges.select("src", "dst", "w")), materialize(vertices.select("v", "vw"))
-    scalars.partition_capacity(vertices.agg(F.sum("vw")).first()[0] or 0, parts, ratio)
-    prep.validate(edges, vertices, strict=verify)
-    options = CoarsenOptions(parts, seed, cluster_size_factor=factor or scalars.production_factor(parts), pack_isolated=True, strict_verify=verify)
-    h = coarsen(edges, vertices, options)
-    labels = initial_partition(*h.graphs[-1], parts, ratio, seed)
-    return uncoarsen(h, labels, RefineOptions(parts, ratio, max_rounds))
+    run = partition_run(edges, vertices, parts, ratio, seed, factor, max_rounds, verify)
+    return run.labels, run.stats
+
+
+@dataclass
+class PartitionRun:
+    """Labels, what the refinements did, and seconds by stage."""
+
+    labels: DataFrame
+    stats: list[RefineStats]
+    levels: int
+    stop_reason: str
+    seconds: dict[str, float]
+
+
+def partition_run(edges: DataFrame, vertices: DataFrame, parts: int = 4, ratio: float = 1.03, seed: int = 0, factor: int | None = None, max_rounds: int = 32, verify: bool = False) -> PartitionRun:
+    """As :func:`partition`; everything stored on the way is deleted but the labels."""
+    stages = Stages()
+    with scratch(edges.sparkSession):
+        with stages("input_prepare"):
+            edges, vertices = materialize(edges.select("src", "dst", "w")), materialize(vertices.select("v", "vw"))
+            scalars.partition_capacity(prep.checked_total(vertices, "vw"), parts, ratio)
+            prep.validate(edges, vertices, strict=verify)
+        options = CoarsenOptions(parts, seed, cluster_size_factor=factor or scalars.production_factor(parts), pack_isolated=True, strict_verify=verify)
+        with stages("coarsen"):
+            h = coarsen(edges, vertices, options)
+        with stages("initial_partition"):
+            labels = initial_partition(*h.graphs[-1], parts, ratio, seed)
+        with stages("uncoarsen"):
+            labels, stats = uncoarsen(h, labels, RefineOptions(parts, ratio, max_rounds))
+            labels = materialize(labels, keep=True)
+    return PartitionRun(labels, stats, len(h.graphs), h.stop_reason, stages.seconds)

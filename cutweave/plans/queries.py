@@ -7,19 +7,21 @@ vertex ids, so that SQL can make them too.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cutweave.functions import scalars
-from cutweave.model import CoarsenOptions, materialize
+from cutweave.model import CoarsenOptions, RefineOptions, materialize, shared_root
 from cutweave.operators import coarsen as co
 from cutweave.operators import graph as gr
 from cutweave.operators import prep
 from cutweave.operators import refine as rf
 from cutweave.operators import spectral as sp
 from cutweave.plans import partition as pt
+from cutweave.sources import files
 
 K, ALPHA, CAP = 4, 1.03, 5
 SEED, LEVEL, ROUND = 7, 1, 2
@@ -279,7 +281,7 @@ def q_symmetry_report(s, d):
     return prep.symmetry_report(raw(s, d))
 
 
-@register(with_sql(E, "t AS (SELECT * FROM e WHERE src < dst OR src % 3 = 0)", final="SELECT src, dst, w, 1::BIGINT AS n FROM t WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.src = t.dst AND b.dst = t.src AND b.w = t.w)"))
+@register(with_sql(E, "t AS MATERIALIZED (SELECT * FROM e WHERE src < dst OR src % 3 = 0)", final="SELECT src, dst, w, 1::BIGINT AS n FROM t WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.src = t.dst AND b.dst = t.src AND b.w = t.w)"))
 def q_reverse_violations(s, d):
     return prep.reverse_violations(edges_pp(s, d).filter("src < dst or src % 3 = 0"))
 
@@ -573,8 +575,6 @@ def q_partition_pipeline(s, d):
 @register()
 def q_refine_labels(s, d):
     """PP from labels v mod 4, refined for up to 32 rounds."""
-    from cutweave.model import RefineOptions
-
     e = materialize(edges_pp(s, d))
     v = materialize(table(s, d, "part").select(F.col("p_partkey").alias("v"), F.lit(1).cast("bigint").alias("vw")))
     return pt.refine(e, v, labels(v), RefineOptions(K, ALPHA, max_rounds=32, stale_rounds=3))[0]
@@ -585,6 +585,120 @@ def q_synthetic_social(s, d):
     return prep.synthetic(s, "social")
 
 
+@register(with_sql(*propose_ctes()[:6], f"""g AS (SELECT v, greatest(0, coalesce(max(CASE WHEN c <> own AND aff > 0 THEN aff END), 0) - coalesce(max(CASE WHEN c = own THEN aff END), 0)) AS free,
+    CASE WHEN max(own_role) < {THRESHOLD} THEN greatest(0, coalesce(max(CASE WHEN c <> own AND aff > 0 AND role >= {THRESHOLD} THEN aff END), 0) - coalesce(max(CASE WHEN c = own THEN aff END), 0)) ELSE 0 END AS held FROM n GROUP BY v)""",
+    final="SELECT count(*) FILTER (WHERE free > 0)::BIGINT AS positive_gain, count(*) FILTER (WHERE free > held)::BIGINT AS role_blocked, coalesce(sum(free - held), 0)::BIGINT AS blocked_gain FROM g"))
+def q_role_diagnostics(s, d):
+    c = clusters(vertices(s, d))
+    return co.role_diagnostics(gr.affinity(edges_pp(s, d), c), c, ROLE, THRESHOLD)
+
+
+@register(with_sql(E, V, M, final="SELECT m.c, coalesce(sum(b.bound), 0)::BIGINT AS bound FROM m LEFT JOIN (SELECT src AS v, sum(w) AS bound FROM e GROUP BY 1) b USING (v) GROUP BY 1"))
+def q_record_bounds(s, d):
+    return prep.record_bounds(edges_pp(s, d), mapping(vertices(s, d))).withColumn("bound", F.col("bound").cast("bigint"))
+
+
+@register(with_sql(V, H, f"ld AS (SELECT part, sum(vw) AS load FROM l JOIN v USING (v) GROUP BY 1)", final=f"SELECT sum(load)::BIGINT AS total, max(load)::BIGINT AS max_load, round(max(load) * {float(K)}::DOUBLE / sum(load), 6) AS imbalance FROM ld"))
+def q_load_imbalance(s, d):
+    v = vertices(s, d)
+    return rounded(gr.imbalance(v, heavy_labels(v), K), "imbalance")
+
+
+@register(
+    with_sql(
+        *ANALYZE, "z AS (SELECT *, internal + outgoing AS e FROM pp)",
+        "b AS (SELECT 'vertices' AS metric, avg(vertices) AS a, min(vertices) AS lo, max(vertices) AS hi FROM z UNION ALL SELECT 'edges', avg(e), min(e), max(e) FROM z)",
+        final="SELECT metric, round(a, 6) AS avg, lo::DOUBLE AS min, hi::DOUBLE AS max, round(hi / a, 6) AS imbalance, round(greatest(hi - a, a - lo) / a, 6) AS deviation, round(a * 1.05::DOUBLE, 6) AS allowed_max, hi / a <= 1.05 AS within_ratio FROM b",
+    )
+)
+def q_balance_report(s, d):
+    return rounded(gr.balance_report(gr.analyze_summary(gr.analyze_parts(edges_pp(s, d), labels(vertices(s, d)), K))), "avg", "imbalance", "deviation", "allowed_max")
+
+
+@register("SELECT c::BIGINT AS clusters, n::BIGINT AS vertices, floor(least(0.5::DOUBLE, greatest(0, c - (n + 1) // 2) / c::DOUBLE) * 4294967296)::BIGINT AS threshold FROM (SELECT count(DISTINCT l_suppkey) + count(DISTINCT l_partkey) AS n FROM lineitem), (SELECT unnest(range(1, 41)) AS i), LATERAL (SELECT 1 + (n - 1) * i // 40 AS c)")
+def q_mover_thresholds(s, d):
+    n = sum(table(s, d, "lineitem").agg(F.countDistinct("l_suppkey"), F.countDistinct("l_partkey")).first())
+    return s.createDataFrame([(c, n, scalars.mover_threshold(c, n)) for c in (1 + (n - 1) * i // 40 for i in range(1, 41))], "clusters bigint, vertices bigint, threshold bigint")
+
+
+@register(with_sql(V, "t AS (SELECT sum(vw) AS total, max(vw) AS top FROM v)", final="SELECT k::INTEGER AS parts, greatest(64, (511 + k) // k)::BIGINT AS factor, greatest(32, greatest(64, (511 + k) // k) * k)::BIGINT AS cutoff, greatest(top, (total + greatest(64, (511 + k) // k) * k - 1) // (greatest(64, (511 + k) // k) * k))::BIGINT AS capacity FROM t, (SELECT unnest(range(2, 33)) AS k)"))
+def q_cluster_capacities(s, d):
+    total, top = vertices(s, d).agg(F.sum("vw"), F.max("vw")).first()
+    rows = [(k, f, scalars.coarsest_cutoff(f, k), scalars.cluster_capacity(total, top, f, k)) for k in range(2, 33) for f in [scalars.production_factor(k)]]
+    return s.createDataFrame(rows, "parts int, factor bigint, cutoff bigint, capacity bigint")
+
+
+@register("WITH o AS (SELECT unnest([(0, 1), (0, 1), (1, 2), (2, 3), (4, 5), (5, 6), (5, 6), (8, 9)]) AS p UNION ALL SELECT (u, u + 1) FROM (SELECT unnest(range(10, 4095, 2)) AS u)) SELECT 0::BIGINT AS src, 0::BIGINT AS dst, 1::BIGINT AS w UNION ALL SELECT p[1]::BIGINT, p[2]::BIGINT, 1 FROM o UNION ALL SELECT p[2]::BIGINT, p[1]::BIGINT, 1 FROM o")
+def q_multigraph(s, d):
+    return prep.multigraph(s)[0]
+
+
+@register(with_sql(R, final="SELECT src, dst, count(*) AS n FROM r GROUP BY 1, 2"))
+def q_edge_list_round_trip(s, d):
+    """Entries written as text and read as an edge list of sniffed format."""
+    path = f"{shared_root(s)}/graph/{uuid.uuid4().hex}"
+    raw(s, d).select(F.concat_ws(" ", "src", "dst").alias("line")).write.text(path)
+    return files.read_edge_list(s, path).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(with_sql(E, V, final="SELECT src, dst, w, row_number() OVER (ORDER BY src, dst) - 1 AS ord FROM (SELECT src, dst, 1::BIGINT AS w FROM e)"))
+def q_csr_round_trip(s, d):
+    """PP written as a binary CSR and read again."""
+    path = f"{shared_root(s)}/graph/{uuid.uuid4().hex}"
+    e = materialize(edges_pp(s, d))
+    files.write_csr(e, vertices(s, d), f"{path}-ptr", f"{path}-idx")
+    return files.read_csr(s, f"{path}-ptr", f"{path}-idx")[0].select("src", "dst", "w", "ord")
+
+
+@register(with_sql(V, L, final="SELECT v, part FROM l"))
+def q_labels_round_trip(s, d):
+    path = f"{shared_root(s)}/graph/{uuid.uuid4().hex}"
+    files.write_partition(labels(vertices(s, d)), path)
+    return files.read_partition(s, path, "binary")
+
+
+@register("SELECT count(*)::BIGINT AS vertices, sum(vw)::BIGINT AS total, floor(sum(vw) * 1.03 / 4)::BIGINT AS capacity, 0::BIGINT AS bad_labels, true AS within, true AS cut_as_counted FROM (SELECT 1 AS vw FROM part)")
+def q_partition_invariants(s, d):
+    """What any partition of PP must keep: every vertex one label in range,
+    loads within the capacity, and the cut that was counted, by its own join."""
+    e = materialize(edges_pp(s, d))
+    v = materialize(table(s, d, "part").select(F.col("p_partkey").alias("v"), F.lit(1).cast("bigint").alias("vw")))
+    run = pt.partition_run(e, v, K, ALPHA, 0)
+    own = run.labels
+    cut = e.join(own.select(F.col("v").alias("src"), F.col("part").alias("a")), "src").join(own.select(F.col("v").alias("dst"), F.col("part").alias("b")), "dst")
+    cut = cut.agg(F.expr("coalesce(sum(CASE WHEN a <> b THEN w END), 0) div 2").alias("cut"))
+    load = v.join(own, "v", "left").groupBy("part").agg(F.sum("vw").alias("load"), F.count(F.lit(1)).alias("n"))
+    bad = F.sum(F.when(F.col("part").between(0, K - 1), 0).otherwise(F.col("n")))
+    row = load.agg(F.sum("n").alias("vertices"), F.sum("load").alias("total"), bad.alias("bad_labels"), F.max("load").alias("top")).crossJoin(cut)  # frames of one row
+    cap = F.floor(F.col("total") * ALPHA / K)
+    counted = F.col("cut") == run.stats[-1].final_cut
+    return row.select("vertices", "total", cap.alias("capacity"), "bad_labels", (F.col("top") <= cap).alias("within"), counted.alias("cut_as_counted"))
+
+
+@register(with_sql(E, V, f"k AS (SELECT (sum(w) // 2)::BIGINT AS x FROM e WHERE {PSEUDO.replace('c *', 'src *')} <> {PSEUDO.replace('c *', 'dst *')})", final="SELECT sum(vw)::BIGINT AS least_weight, sum(vw)::BIGINT AS greatest_weight, true AS falls, true AS onto FROM v, k GROUP BY x"))
+def q_coarsen_invariants(s, d):
+    """What any hierarchy must keep: the weight of each level, fewer vertices
+    level by level, and maps onto the next level's ids."""
+    e, v = materialize(edges_pp(s, d)), materialize(vertices(s, d))
+    h = pt.coarsen(e, v, CoarsenOptions(K, SEED, cluster_size_factor=16, strict_verify=True))
+    weights = [x.agg(F.sum("vw")).first()[0] for _, x in h.graphs]
+    sizes = [x.count() for _, x in h.graphs]
+    onto = [m.agg(F.min("c"), F.max("c"), F.countDistinct("c"), F.countDistinct("v")).first() for m in h.maps]
+    fits = all(tuple(o) == (0, n - 1, n, m) for o, m, n in zip(onto, sizes, sizes[1:], strict=False))
+    falls = len(sizes) > 1 and all(a > b for a, b in zip(sizes, sizes[1:], strict=False))
+    return s.createDataFrame([(min(weights), max(weights), falls, fits)], "least_weight bigint, greatest_weight bigint, falls boolean, onto boolean")
+
+
+@register(with_sql(E, "v AS (SELECT p_partkey AS v, 1::BIGINT AS vw FROM part)", L, final="SELECT (sum(w) // 2)::BIGINT AS first_cut, true AS no_worse, true AS within FROM e JOIN l a ON a.v = e.src JOIN l b ON b.v = e.dst WHERE a.part <> b.part"))
+def q_refine_invariants(s, d):
+    """PP from labels v mod 4: the cut it starts with, that it does not rise, and the capacity."""
+    e = materialize(edges_pp(s, d))
+    v = materialize(table(s, d, "part").select(F.col("p_partkey").alias("v"), F.lit(1).cast("bigint").alias("vw")))
+    out, stats = pt.refine(e, v, labels(v), RefineOptions(K, ALPHA))
+    row = gr.verify(e, v, out, K, ALPHA).first()
+    return s.createDataFrame([(stats.initial_cut, row["cut"] == stats.final_cut <= stats.initial_cut, bool(row["capacity_ok"]))], "first_cut bigint, no_worse boolean, within boolean")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

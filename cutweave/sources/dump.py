@@ -7,24 +7,14 @@ the map of the level before. Little-endian.
 
 from __future__ import annotations
 
-import os
 import struct
-from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutweave.model import Hierarchy, materialize
 from cutweave.operators import prep
-from cutweave.sources.files import read_numbers
-
-LIMIT = 2**31 - 1
-
-
-def _put(out: BinaryIO, df: DataFrame, order: list[str], value: str) -> None:
-    for r in df.orderBy(*order).select(value).toLocalIterator():
-        out.write(struct.pack("<i", r[0]))
-
+from cutweave.sources.files import LIMIT, Sink, put, read_numbers
 
 def _check(h: Hierarchy) -> list[tuple[int, int]]:
     """Vertices and entries of each level; raises what the format can't hold."""
@@ -45,25 +35,19 @@ def _check(h: Hierarchy) -> list[tuple[int, int]]:
 
 
 def write_dump(h: Hierarchy, path: str) -> None:
-    """A local file, streamed a partition at a time; it appears when whole."""
+    """One file, streamed a partition at a time; it appears when whole."""
     sizes = _check(h)
-    try:
-        with open(f"{path}.tmp", "wb") as out:
-            out.write(struct.pack("<i", len(sizes)))
-            for level, ((edges, vertices), (n, m)) in enumerate(zip(h.graphs, sizes, strict=True)):
-                out.write(struct.pack("<ii", n, m))
-                _put(out, prep.row_offsets(edges, vertices), ["v"], "first")
-                out.write(struct.pack("<i", m))
-                _put(out, edges, ["src", "dst"], "dst")
-                _put(out, edges, ["src", "dst"], "w")
-                _put(out, vertices, ["v"], "vw")
-                if level:
-                    _put(out, h.maps[level - 1], ["v"], "c")
-        os.replace(f"{path}.tmp", path)
-    except BaseException:
-        if os.path.exists(f"{path}.tmp"):
-            os.remove(f"{path}.tmp")
-        raise
+    with Sink(h.graphs[0][0].sparkSession, path) as out:
+        out.write(struct.pack("<i", len(sizes)))
+        for level, ((edges, vertices), (n, m)) in enumerate(zip(h.graphs, sizes, strict=True)):
+            out.write(struct.pack("<ii", n, m))
+            put(out, prep.row_offsets(edges, vertices), ["v"], "first", "int32")
+            out.write(struct.pack("<i", m))
+            put(out, edges, ["src", "dst"], "dst", "int32")
+            put(out, edges, ["src", "dst"], "w", "int32")
+            put(out, vertices, ["v"], "vw", "int32")
+            if level:
+                put(out, h.maps[level - 1], ["v"], "c", "int32")
 
 
 def read_dump(spark: SparkSession, path: str) -> Hierarchy:

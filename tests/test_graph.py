@@ -205,3 +205,116 @@ def test_registered_synthetic_graph_has_the_suites_size(spark, sf_dir):
     from cutweave.plans import queries
 
     assert queries.q_synthetic_social(spark, sf_dir).agg(F.countDistinct("src")).first()[0] == 16384
+
+
+def hub_graph(spark, w=1):
+    """A vertex linked twice to each of 1..257, these in a path, and 258 alone."""
+    edges = [(0, v, w) for v in range(1, 258) for _ in range(2)] + [(v, v + 1, w) for v in range(1, 257)]
+    return graph(spark, edges, [7] * 259)
+
+
+def python_cut(edges, parts):
+    return sum(w for a, b, w in edges if parts[a] != parts[b]) // 2
+
+
+def test_hubs_split_alike_each_time(spark):
+    e, v = hub_graph(spark)
+    for k in (2, 3, 4, 8):
+        one, two = (pt.initial_partition(e, v, k, 1.03) for _ in range(2))
+        assert gr.labels_digest(one) == gr.labels_digest(two)
+        assert max(gr.load_list(v, one, k)) <= scalars.partition_capacity(7 * 259, k, 1.03)
+
+
+def test_no_rounds_change_nothing(spark):
+    for w in (1, 2**40):
+        e, v = hub_graph(spark, w)
+        rows = [tuple(r) for r in e.collect()]
+        for parts in ([x % 4 for x in range(259)], [min(3, x // 65) for x in range(259)]):
+            own = labels_of(spark, parts)
+            out, stats = pt.refine(e, v, own, RefineOptions(4, 1.10, 0))
+            assert sorted(out.collect()) == sorted(own.collect()) and stats.rounds == 0
+            assert stats.final_cut == stats.initial_cut == python_cut(rows, parts)
+
+
+def test_dense_contraction_adds_by_key(spark):
+    rows = [(a, b, 3) for a in range(34) for b in range(34) for _ in range(2)]
+    e = spark.createDataFrame(rows, "src bigint, dst bigint, w bigint")
+    for g in (7, 1):
+        want = {}
+        for a, b, w in rows:
+            if a % g != b % g:
+                want[(a % g, b % g)] = want.get((a % g, b % g), 0) + w
+        mapping = spark.range(35).selectExpr("id AS v", f"id % {g} AS c")
+        assert {(r["src"], r["dst"]): r["w"] for r in gr.contract_edges(e, mapping).collect()} == want
+        assert sum(r["bound"] for r in prep.record_bounds(e, mapping).collect()) == sum(w for _, _, w in rows)
+
+
+def test_multigraphs_and_matchings_coarsen(spark):
+    e, v = prep.multigraph(spark)
+    assert prep.reverse_violations(e).isEmpty() and e.filter("src = 7").isEmpty()
+    mapping, count, cap = pt.aggregate(e, v, 4, 0, 0, 256, False)
+    assert 0.45 <= count / 4096 <= 0.60
+    pt.check_level(e, v, mapping, gr.contract_edges(e, mapping), gr.contract_vertices(v, mapping), cap)
+    pairs = spark.range(8).selectExpr("id AS src", "id ^ 1 AS dst", "1L AS w")
+    h = pt.coarsen(pairs, spark.range(8).selectExpr("id AS v", "1L AS vw"), CoarsenOptions(4))
+    assert len(h.graphs) == 1 and h.stop_reason == "capacity_floor"
+
+
+def test_clusters_do_not_depend_on_the_width_of_weights(spark):
+    ring = [(x, (x + 1) % 1024) for x in range(1024)] + [(0, x) for x in range(1, 129)]
+    maps = []
+    for w in (1_000_000, 2**40):
+        e, v = graph(spark, [(a, b, w) for a, b in ring] + [(0, 0, w)], [1] * 1024)
+        maps.append(sorted(tuple(r) for r in pt.aggregate(e, v, 4, 0, 0, 64, True)[0].collect()))
+    assert maps[0] == maps[1]
+
+
+def test_stress_graph_is_refined_within_the_capacity(spark):
+    n, k = 384, 4
+    half = [((x, (x + d) % n), w) for x in range(n) for d, w in ((1, 3), (17, 11), (17, 7))] + [((x, x), 13) for x in range(n)]
+    rows = [(a, b, w) for (a, b), w in half] + [(b, a, w) for (a, b), w in half]
+    e = spark.createDataFrame(rows[::-1], "src bigint, dst bigint, w bigint")
+    v = spark.range(n).selectExpr("id AS v", f"1 + (id div {k}) % 3 AS vw")
+    out, stats = pt.refine(e, v, labels_of(spark, [x % k for x in range(n)]), RefineOptions(k, 1.03, 4))
+    assert stats.initial_cut == 8064 >= stats.final_cut
+    assert max(gr.load_list(v, out, k)) <= scalars.partition_capacity(sum(1 + (x // k) % 3 for x in range(n)), k, 1.03)
+
+
+def test_whole_partitions_are_repeatable_and_verified(spark):
+    from cutweave.plans import commands
+
+    (row,) = commands.suite(spark, 64, ("circuit",), (2,), 2, max_rounds=2)
+    assert row["max_load"] <= row["capacity"] == 32
+    e, v = graph(spark, [(a + k, b + k, 3) for k in (0, 4) for a in range(4) for b in range(a)], [1] * 8)
+    got = commands.compare(e, v, {"even": lambda e, v, k: v.selectExpr("v", "cast(v % 2 AS int) AS part"), "halves": lambda e, v, k: v.selectExpr("v", "cast(v div 4 AS int) AS part")}, (2,), repeats=2)
+    assert [(s["method"], s["cut_median"], s["runs"]) for s in got["summary"]] == [("even", 24.0, 2), ("halves", 0.0, 2)] and len(got["verified"]) == 2
+
+
+def test_commands_read_and_write_files(spark, tmp_path):
+    from cutweave.plans import commands
+    from cutweave.sources import dump
+
+    e, v = graph(spark, [(a + k, b + k, 1) for k in (0, 4) for a in range(4) for b in range(a)] + [(0, 4, 1)], [1] * 8)
+    ptr, idx, out = (str(tmp_path / x) for x in ("indptr", "indices", "labels"))
+    files.write_csr(e, v, ptr, idx)
+    got = commands.partition_files(spark, ptr, idx, 2, out, verify=True)
+    assert got["cut"] == 1 and got["max_load"] == 4 and {"coarsen_seconds", "uncoarsen_seconds"} <= set(got)
+    assert sorted(np.fromfile(out, dtype="<i4").tolist()) == [0, 0, 0, 0, 1, 1, 1, 1]
+    line = files.metric_lines(spark.createDataFrame([(1, files.metric_text(got))], "ord int, line string"))
+    assert {r["key"]: r["value"] for r in line.collect()}["cut"] == "1"
+    assert commands.coarsen_files(spark, ptr, idx, 2, str(tmp_path / "h"))["levels"] == 1
+    assert dump.read_dump(spark, str(tmp_path / "h")).graphs[0][0].count() == e.count()
+    with pytest.raises(OverflowError):
+        files.read_csr(spark, ptr, idx, limit=20)
+    with pytest.raises(OverflowError):
+        prep.checked_total(v, "vw", 7)
+    files.write_json({"a": 1}, spark, str(tmp_path / "x.json"))
+    assert (tmp_path / "x.json").read_text() == '{\n "a": 1\n}'
+    made = prep.random_edges(spark, 20, 60, 3)
+    files.write_graph_files(made, spark.range(20).selectExpr("id AS v", "1L AS vw"), str(tmp_path / "g"))
+    back = files.read_csr(spark, str(tmp_path / "g_indptr.bin"), str(tmp_path / "g_indices.bin"), str(tmp_path / "g_values.bin"))[0]
+    assert sorted(back.select("src", "dst", "value").collect()) == sorted(made.select("src", "dst", "value").collect())
+    _, ids = prep.remap_ids(spark.createDataFrame([(0, 50, 40), (1, 40, 90)], "ord bigint, src bigint, dst bigint"))
+    files.write_vertex_ids(ids, str(tmp_path / "ids"))
+    assert np.fromfile(str(tmp_path / "ids"), dtype="<i8").tolist() == [50, 40, 90]
+    assert "within_ratio=" in gr.report_text(gr.balance_report(gr.analyze_summary(gr.analyze_parts(e, v.selectExpr("v", "cast(v div 4 AS int) AS part"), 2))))
