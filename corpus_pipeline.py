@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from cutweave.llm import mixing, positional_index, quality, sharding, simhash
-from cutweave.llm.common import shared_root
+from cutweave.llm.common import delete, scratch, shared_root
 
 SEED = 42
 N_SHARDS = 16
@@ -60,11 +60,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again in the shared folder."""
+    """All stages over documents, each written and read again in the shared
+    folder; what a stage stored on its way, and its input, go once it is written."""
     docs = _table(spark, sf_dir, "documents")
     root = f"{shared_root(spark)}/cutweave/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         path = f"{root}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if k:
+            delete(spark, f"{root}/{k - 1}")
         docs = spark.read.parquet(path)
     return docs
