@@ -313,7 +313,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     once with their fingerprint and shuffled once, by id.
     """
     fp, hid, hfp, rank = fresh(docs, "__sim_fp", "__sim_id", "__sim_head", "__sim_rank")
-    marked = materialize(docs.withColumn(fp, fingerprint_udf(F.col("text"))), "simhash-rows")
+    marked = materialize(docs.withColumn(fp, fingerprint_udf(F.col("text"))), "simhash-rows", "zstd")
     heads = with_components(marked.select("doc_id", F.col(fp).alias("fp")), radius).filter("is_kept").select("doc_id", "fp").distinct()
     heads = materialize(heads.select(F.col("doc_id").alias(hid), F.col("fp").alias(hfp)), "simhash-kept")
     found = marked.join(heads, F.col("doc_id").eqNullSafe(F.col(hid)) & (F.col(fp) == F.col(hfp)))
