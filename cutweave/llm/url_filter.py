@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOST_RE = r"(?s)^.*?://([^/?#]*)"
 PATH_RE = r"(?s)^.*?://[^/?#]*([^?#]*)"
+#: Bytes of the rules' table, which is a literal of the plan; more are an error.
+TABLE_BYTES = 8 << 20
 TABLE_TYPE = "array<array<struct<t:string,r:array<struct<regex:string,kind:int,len:int,rule:string,verdict:string>>>>>"
 
 
@@ -43,6 +45,18 @@ class Rule:
         return cls("||" + host_path, verdict, host_path)
 
 
+def rules_from(table: DataFrame) -> list[Rule]:
+    """Rules of a table (pattern, verdict, name), name null for fallbacks; read
+    no further than what filter_urls takes, and an error beyond that."""
+    out, size = [], 0
+    for r in table.select("pattern", "verdict", "name").orderBy("pattern", "verdict", "name").toLocalIterator():
+        out.append(Rule(r["pattern"], r["verdict"], r["name"]))
+        size += len(r["pattern"]) + len(r["name"] or "")
+        if size > TABLE_BYTES:
+            raise ValueError(f"the rules have more than {TABLE_BYTES} bytes")
+    return out
+
+
 def to_regex(pattern: str) -> str:
     """Regular expression of a pattern; it is searched for, not matched whole."""
     head, body, tail = "", pattern, ""
@@ -121,7 +135,9 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url
     """
     tokens = sorted({t for r in rules for t in literal_tokens(r.pattern)})
     table, loose = build_index(rules, token_counts(pages, url, tokens))
-    index = F.from_json(F.lit(json.dumps(table)), TABLE_TYPE)
+    if len(text := json.dumps(table)) > 4 * TABLE_BYTES:
+        raise ValueError("the rules are too many for one table")
+    index = F.from_json(F.lit(text), TABLE_TYPE)
     always = F.from_json(F.lit(json.dumps([[{"t": "", "r": loose}]])), TABLE_TYPE)[0][0]["r"]
     host, path = url_parts(F.col(url))
     target = F.concat(host, path)

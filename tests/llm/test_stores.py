@@ -3,6 +3,8 @@
 import math
 from collections import Counter
 
+import pytest
+
 from cutweave.llm import merkle, mixing, queries, url_filter
 from cutweave.llm.url_filter import Rule
 
@@ -100,6 +102,21 @@ def test_rules_fit_hosts_and_paths(spark):
     assert {r["verdict"] for r in url_filter.filter_urls(df, [], "block").collect()} == {"block"}
 
 
+def test_rules_come_from_a_table_of_bounded_size(spark, monkeypatch):
+    rows = [("||net/es/", "block", "net/es/"), ("||cheap.", "block", None)]
+    table = spark.createDataFrame(rows, "pattern string, verdict string, name string")
+    rules = url_filter.rules_from(table)
+    assert sorted(rules, key=str) == sorted((Rule(*r) for r in rows), key=str)
+    # of fallbacks that fit alike the greater verdict counts
+    df = spark.createDataFrame([(1, "x://cheap.org/")], "page_id int, url string")
+    both = [*rules, Rule("||cheap.", "allow")]
+    assert {r["verdict"] for x in (both, both[::-1]) for r in url_filter.filter_urls(df, x).collect()} == {"block"}
+    monkeypatch.setattr(url_filter, "TABLE_BYTES", 10)
+    for act in (lambda: url_filter.rules_from(table), lambda: url_filter.filter_urls(df, rules)):
+        with pytest.raises(ValueError):
+            act()
+
+
 def test_patterns(spark):
     assert url_filter.literal_tokens("||ads.*.com^") == ["ads", "com"]
     assert url_filter.literal_tokens("banner*") == [] and url_filter.literal_tokens("/ads/*x") == ["ads"]
