@@ -29,6 +29,9 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Spark's setting that deletes the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
@@ -55,11 +58,17 @@ def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage: a lost executor costs a re-read, never a recomputation of
-    what stands before, and a nondeterministic row order becomes fixed.
+    what stands before, and a nondeterministic row order becomes fixed. The
+    write's own shuffle files go when it has ended, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/cutweave/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=codec)
+    finally:
+        spark.conf.set(CLEANUP, before)
     if (paths := _made.get()) is not None:
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
