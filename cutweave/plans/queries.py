@@ -63,6 +63,13 @@ def heavy_labels(v: DataFrame) -> DataFrame:
     return v.select("v", F.when(F.col("v") % 5 < 3, 0).otherwise(F.col("v") % K).cast("int").alias("part"))
 
 
+def with_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and, numbered after them, customers: these have no entry in PP."""
+    n = table(spark, sf_dir, "part").count()
+    own = table(spark, sf_dir, "customer").select((F.col("c_custkey") + n).alias("v"), (1 + F.col("c_nationkey") % 3).cast("bigint").alias("vw"))
+    return vertices(spark, sf_dir).unionByName(own)
+
+
 def clusters(v: DataFrame) -> DataFrame:
     return v.select("v", (F.col("v") - F.col("v") % 3).alias("c"))
 
@@ -114,6 +121,7 @@ def rounded(df: DataFrame, *names: str, to: int = 6) -> DataFrame:
 
 E = "e AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*)::BIGINT AS w FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY 1, 2)"
 V = "v AS (SELECT p_partkey AS v, (1 + p_size % 3)::BIGINT AS vw FROM part)"
+VC = V.removesuffix(")") + " UNION ALL SELECT c_custkey + (SELECT count(*) FROM part), (1 + c_nationkey % 3)::BIGINT FROM customer)"
 L = f"l AS (SELECT v, (v % {K})::INTEGER AS part FROM v)"
 H = f"l AS (SELECT v, CASE WHEN v % 5 < 3 THEN 0 ELSE v % {K} END::INTEGER AS part FROM v)"
 C = "c AS (SELECT v, v - v % 3 AS c FROM v)"
@@ -206,7 +214,6 @@ ANALYZE = [
       count(*) FILTER (WHERE ls <> p.part AND ld = p.part) AS incoming, coalesce(sum(w) FILTER (WHERE ls <> p.part AND ld = p.part), 0)::DOUBLE AS incoming_value
       FROM (SELECT unnest(range({K}))::INTEGER AS part) p JOIN j ON ls = p.part OR ld = p.part GROUP BY p.part)""",
 ]
-SUB = "t AS (SELECT * FROM e WHERE src % 7 <> 0 AND dst % 7 <> 0)"
 PSEUDO = "((c * 2654435761 + 17) % 23)"
 CUT = "sum(CASE WHEN a.part <> b.part THEN w ELSE 0 END)"
 
@@ -245,29 +252,19 @@ def q_self_loop_filter(s, d):
     return prep.without_loops(raw(s, d))
 
 
-@register(with_sql(E, V, SUB, final="SELECT v.v, count(t.src) AS deg FROM v LEFT JOIN t ON t.src = v.v GROUP BY 1"))
-def q_degree(s, d):
-    return prep.degree(edges_pp(s, d).filter("src % 7 <> 0 and dst % 7 <> 0"), vertices(s, d))
-
-
 @register(with_sql(E, V, final="SELECT CASE WHEN deg <= 8 THEN 'low' WHEN deg <= 256 THEN 'medium' ELSE 'high' END AS cls, count(*) AS n FROM (SELECT v.v, count(e.src) AS deg FROM v LEFT JOIN e ON e.src = v.v GROUP BY 1) GROUP BY 1"))
 def q_degree_class(s, d):
     return prep.degree_class(edges_pp(s, d), vertices(s, d))
 
 
-@register(with_sql(E, V, SUB, final="SELECT v, vw FROM v WHERE v NOT IN (SELECT src FROM t)"))
-def q_zero_degree(s, d):
-    return prep.zero_degree(edges_pp(s, d).filter("src % 7 <> 0 and dst % 7 <> 0"), vertices(s, d))
-
-
-@register(with_sql(E, V, final="SELECT v.v, count(e.src) AS deg FROM v LEFT JOIN e ON e.src = v.v GROUP BY 1"))
-def q_degree_whole(s, d):
-    return prep.degree(edges_pp(s, d), vertices(s, d))
+@register(with_sql(E, VC, final="SELECT v.v, count(e.src) AS deg FROM v LEFT JOIN e ON e.src = v.v GROUP BY 1"))
+def q_degree(s, d):
+    return prep.degree(edges_pp(s, d), with_customers(s, d))
 
 
-@register(with_sql(E, V, final="SELECT v, vw FROM v WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = v.v)"))
-def q_zero_degree_whole(s, d):
-    return prep.zero_degree(edges_pp(s, d), vertices(s, d))
+@register(with_sql(E, VC, final="SELECT v, vw FROM v WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = v.v)"))
+def q_zero_degree(s, d):
+    return prep.zero_degree(edges_pp(s, d), with_customers(s, d))
 
 
 @register(
@@ -281,13 +278,8 @@ def q_symmetry_report(s, d):
     return prep.symmetry_report(raw(s, d))
 
 
-@register(with_sql(E, "t AS MATERIALIZED (SELECT * FROM e WHERE src < dst OR src % 3 = 0)", final="SELECT src, dst, w, 1::BIGINT AS n FROM t WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.src = t.dst AND b.dst = t.src AND b.w = t.w)"))
-def q_reverse_violations(s, d):
-    return prep.reverse_violations(edges_pp(s, d).filter("src < dst or src % 3 = 0"))
-
-
 @register(with_sql(R, "n AS (SELECT src, dst, w, count(*) AS n FROM r GROUP BY 1, 2, 3)", final="SELECT src, dst, w, n FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.src = a.dst AND b.dst = a.src AND b.w = a.w AND b.n = a.n)"))
-def q_reverse_violations_raw(s, d):
+def q_reverse_violations(s, d):
     return prep.reverse_violations(raw(s, d))
 
 
@@ -405,28 +397,17 @@ def q_two_hop_pairs(s, d):
     return co.two_hop_pairs(co.singleton_favorites(*loose(s, d)), CAP)
 
 
-@register(with_sql(*LOOSE, *FAV, *PAIRS, "bg AS (SELECT * FROM pr ORDER BY target, gain DESC, tie DESC, v LIMIT 40)", final="SELECT bg.v, c.c AS target FROM bg JOIN c ON c.v = bg.mate"))
-def q_merge_budget(s, d):
-    p, v, c = loose(s, d)
-    return co.merge_budget(co.two_hop_pairs(co.singleton_favorites(p, v, c), CAP), c, 40)
-
-
 @register(with_sql(*LOOSE, *FAV, *PAIRS, "bd AS (SELECT greatest(0, count(DISTINCT c) - (count(*) + 1) // 2) AS budget FROM c)", "bg AS (SELECT *, row_number() OVER (ORDER BY target, gain DESC, tie DESC, v) AS pos FROM pr)", final="SELECT bg.v, c.c AS target FROM bg JOIN c ON c.v = bg.mate, bd WHERE pos <= budget"))
-def q_merge_budget_derived(s, d):
+def q_merge_budget(s, d):
     """With the budget of the plan, which grows with the graph."""
     p, v, c = loose(s, d)
     n, count = c.agg(F.count(F.lit(1)), F.countDistinct("c")).first()
     return co.merge_budget(co.two_hop_pairs(co.singleton_favorites(p, v, c), CAP), c, max(0, count - -(-n // 2)))
 
 
-@register(with_sql(E, V, SUB, "z AS (SELECT v, vw, sum(vw) OVER (ORDER BY v) AS run FROM v WHERE v NOT IN (SELECT src FROM t))", "b AS (SELECT v, ((run - vw) // 12) AS bin FROM z WHERE (run - vw) // 12 = (run - 1) // 12)", final="SELECT v, min(v) OVER (PARTITION BY bin) AS rep FROM b"))
+@register(with_sql(E, VC, "z AS (SELECT v, vw, sum(vw) OVER (ORDER BY v) AS run FROM v WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = v.v))", "b AS (SELECT v, ((run - vw) // 12) AS bin FROM z WHERE (run - vw) // 12 = (run - 1) // 12)", final="SELECT v, min(v) OVER (PARTITION BY bin) AS rep FROM b"))
 def q_isolated_packing(s, d):
-    return co.pack_isolated(edges_pp(s, d).filter("src % 7 <> 0 and dst % 7 <> 0"), vertices(s, d), 12)
-
-
-@register(with_sql(E, V, "z AS (SELECT v, vw, sum(vw) OVER (ORDER BY v) AS run FROM v WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = v.v))", "b AS (SELECT v, ((run - vw) // 12) AS bin FROM z WHERE (run - vw) // 12 = (run - 1) // 12)", final="SELECT v, min(v) OVER (PARTITION BY bin) AS rep FROM b"))
-def q_isolated_packing_whole(s, d):
-    return co.pack_isolated(edges_pp(s, d), vertices(s, d), 12)
+    return co.pack_isolated(edges_pp(s, d), with_customers(s, d), 12)
 
 
 @register(with_sql(E, V, M, final="SELECT a.c AS src, b.c AS dst, sum(w)::BIGINT AS w FROM e JOIN m a ON a.v = e.src JOIN m b ON b.v = e.dst WHERE a.c <> b.c GROUP BY 1, 2"))
