@@ -39,10 +39,15 @@ _WORD_CHARS = set(b"0123456789abcdefghijklmnopqrstuvwxyz") | set(range(128, 256)
 _TO_WORDS = bytes(c if c in _WORD_CHARS else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
+def word_bytes(text: str | None) -> bytes:
+    """A text's words, and a blank for each byte between them. Null: none."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_TO_WORDS)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text: A-Z lower-cased; runs of digits, letters and all
     characters beyond ASCII. Null: none."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_TO_WORDS).split()
+    return word_bytes(text).split()
 
 
 @dataclass
