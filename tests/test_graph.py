@@ -362,3 +362,20 @@ def test_partition_invariants_is_not_a_job_a_step(spark, sf_dir):
 
     (row,), jobs = jobs_of(spark, "invariants", lambda: queries.q_partition_invariants(spark, sf_dir).collect())
     assert (row["vertices"], row["bad_labels"], row["within"], row["cut_as_counted"]) == (200, 0, True, True) and jobs < 100
+
+
+def test_partition_pipeline_is_not_a_job_a_step(spark, sf_dir):
+    from cutweave.plans import queries
+
+    rows, jobs = jobs_of(spark, "pipeline", lambda: queries.q_partition_pipeline(spark, sf_dir).collect())
+    loads = [sum(r["part"] == p for r in rows) for p in range(4)]
+    assert sorted(r["v"] for r in rows) == list(range(200)) and sum(loads) == 200 and max(loads) <= 51 and jobs < 100
+
+
+def test_coarsen_levels_is_not_a_job_a_step(spark, sf_dir):
+    from cutweave.plans import queries
+
+    rows, jobs = jobs_of(spark, "levels", lambda: queries.q_coarsen_levels(spark, sf_dir.replace("sf0.001", "sf0.01")).collect())
+    rows = sorted(rows)
+    assert len(rows) > 2 and len({r["weight"] for r in rows}) == 1 and rows[0]["vertices"] == 2000 and rows[0]["entries"] == 231458
+    assert all(a["vertices"] > b["vertices"] for a, b in zip(rows, rows[1:], strict=False)) and jobs < 60
