@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cutweave.functions import scalars
-from cutweave.model import CoarsenOptions, RefineOptions, materialize, shared_root
+from cutweave.model import CoarsenOptions, RefineOptions, materialize, scratch, shared_root
+from cutweave.operators import blocks as bl
 from cutweave.operators import coarsen as co
 from cutweave.operators import graph as gr
 from cutweave.operators import prep
@@ -38,6 +39,14 @@ def edges_pp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "l_orderkey").filter("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
 
 
+def packed_pp(spark: SparkSession, sf_dir: str, v: DataFrame) -> tuple[DataFrame, bl.Blocks | None]:
+    """PP as its entries, and packed from the lines of the orders where that
+    can be; the entries are stored only where it can not."""
+    g = bl.pack_groups(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_partkey").alias("v")), v)
+    e = edges_pp(spark, sf_dir)
+    return (e if g else materialize(e)), g
+
+
 def edges_sp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers (ids first) and parts, in both directions."""
     n = table(spark, sf_dir, "supplier").count()
@@ -549,9 +558,10 @@ def q_coarsen_levels(s, d):
 @register()
 def q_partition_pipeline(s, d):
     """Parts of PP: coarsened, split, projected and refined."""
-    e = materialize(edges_pp(s, d))
-    v = table(s, d, "part").select(F.col("p_partkey").alias("v"), F.lit(1).cast("bigint").alias("vw"))
-    return pt.partition(e, v, K, ALPHA, 0, max_rounds=32)[0]
+    with scratch(s):  # the labels stay
+        v = materialize(table(s, d, "part").select(F.col("p_partkey").alias("v"), F.lit(1).cast("bigint").alias("vw")))
+        e, packed = packed_pp(s, d, v)
+        return pt.partition(e, v, K, ALPHA, 0, max_rounds=32, packed=packed)[0]
 
 
 @register()

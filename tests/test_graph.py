@@ -379,3 +379,34 @@ def test_coarsen_levels_is_not_a_job_a_step(spark, sf_dir):
     rows = sorted(rows)
     assert len(rows) > 2 and len({r["weight"] for r in rows}) == 1 and rows[0]["vertices"] == 2000 and rows[0]["entries"] == 231458
     assert all(a["vertices"] > b["vertices"] for a, b in zip(rows, rows[1:], strict=False)) and jobs < 60
+
+
+def test_graphs_packed_from_groups_are_those_of_their_pairs(spark, sf_dir, monkeypatch):
+    from cutweave.operators import blocks as bl
+    from cutweave.plans import queries
+
+    rows = [(1, 0), (1, 1), (1, 1), (2, 1), (2, 0), (2, 2), (3, 3), (4, 3), (4, 3), (None, 0), (None, 2), (5, None), (5, 2), (6, 4), (6, 2)]
+    own = spark.createDataFrame(rows, "grp bigint, v bigint")
+    lines = queries.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS grp", "l_partkey AS v")
+    for members, v in ((own, spark.range(6).selectExpr("id AS v", "1 + id % 3 AS vw")), (lines, queries.vertices(spark, sf_dir))):
+        a, b = members.selectExpr("grp", "v AS src"), members.selectExpr("grp", "v AS dst")
+        want = sorted(map(tuple, a.join(b, "grp").filter("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1))).collect()))
+        for block, local in ((1 << 19, 1 << 20), (3, 0)):
+            with monkeypatch.context() as m:
+                m.setattr(bl, "BLOCK", block if members is own else max(block, 500))
+                m.setattr(bl, "LOCAL", local)
+                g = bl.pack_groups(members, v)
+                assert sorted(map(tuple, g.edges().collect())) == want and g.entries == len(want)
+                assert sorted(map(tuple, g.vertices().collect())) == sorted(map(tuple, v.collect()))
+        assert bl.pack_groups(members, v.filter("v < 4")) is None and bl.pack_groups(members.limit(0), v) is None
+    assert bl.pack_groups(own.filter("grp = 4"), spark.range(6).selectExpr("id AS v", "1L AS vw")) is None
+
+
+def test_pairs_of_lines_are_not_stored_one_by_one(spark, sf_dir, monkeypatch):
+    from cutweave.plans import queries
+
+    stored = []
+    monkeypatch.setattr(queries, "edges_pp", lambda *a, f=queries.edges_pp: stored.append(f(*a)) or stored[-1])
+    for module in (queries, pt):
+        monkeypatch.setattr(module, "materialize", lambda df, *a, f=module.materialize, **b: f(df, *a, **b) if set(df.columns) != {"src", "dst", "w"} else pytest.fail("entries were stored"))
+    assert queries.q_partition_pipeline(spark, sf_dir).count() == 200
