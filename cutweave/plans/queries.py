@@ -548,10 +548,12 @@ def q_repeat_summary(s, d):
 @register()
 def q_coarsen_levels(s, d):
     """(level, vertices, entries, weight) of the hierarchy of PP."""
-    e, v = materialize(edges_pp(s, d)), materialize(vertices(s, d))
-    h = pt.coarsen(e, v, CoarsenOptions(K, SEED, cluster_size_factor=128, strict_verify=True))
-    rows = [(k, g.n, g.entries, int(g.vw.sum())) for k, g in enumerate(h.packed)]  # no entry of PP is parallel to another
-    rows = rows or [(k, x.count(), y.count(), x.agg(F.sum("vw")).first()[0]) for k, (y, x) in enumerate(h.graphs)]
+    with scratch(s):
+        v = materialize(vertices(s, d))
+        e, packed = packed_pp(s, d, v)
+        h = pt.coarsen(e, v, CoarsenOptions(K, SEED, cluster_size_factor=128, strict_verify=True), packed)
+        rows = [(k, g.n, g.entries, int(g.vw.sum())) for k, g in enumerate(h.packed)]  # no entry of PP is parallel to another
+        rows = rows or [(k, x.count(), y.count(), x.agg(F.sum("vw")).first()[0]) for k, (y, x) in enumerate(h.graphs)]
     return s.createDataFrame(rows, "level int, vertices bigint, entries bigint, weight bigint")
 
 

@@ -409,4 +409,4 @@ def test_pairs_of_lines_are_not_stored_one_by_one(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(queries, "edges_pp", lambda *a, f=queries.edges_pp: stored.append(f(*a)) or stored[-1])
     for module in (queries, pt):
         monkeypatch.setattr(module, "materialize", lambda df, *a, f=module.materialize, **b: f(df, *a, **b) if set(df.columns) != {"src", "dst", "w"} else pytest.fail("entries were stored"))
-    assert queries.q_partition_pipeline(spark, sf_dir).count() == 200
+    assert queries.q_coarsen_levels(spark, sf_dir).count() and queries.q_partition_pipeline(spark, sf_dir).count() == 200
